@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,21 @@ def session(app: str = "folioflow", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers import this package from where the driver has it.
+
+    A no-op where it is installed; on a cluster without it, ship it with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    importable(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
