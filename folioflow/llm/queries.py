@@ -5,16 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioflow.llm.lookalikes import look_alike_keys, look_alike_pairs
+from folioflow.llm.splitting import cut_kinds, split_oversized
 from folioflow.llm.tokens import encode_corpus
 from folioflow.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return look_alike_pairs(look_alike_keys(table(spark, sf, "passages")))
+
+
+def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The consistent form of every text and section that isn't in it already."""
+    return look_alike_keys(table(spark, sf, "passages")).where("form is not null").select("field", "row_id", "form").distinct()
+
+
+def _split(spark: SparkSession, sf: str, with_text: bool) -> dict[str, DataFrame]:
+    return {
+        "docs": split_oversized(table(spark, sf, "docs"), "load_id", prefix="section_prefix", with_text=with_text),
+        "passages": split_oversized(table(spark, sf, "passages"), "row_id", section="section", with_text=with_text),
+    }
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (cut_kinds(p).select(F.lit(name).alias("item_table"), "item_id", "cut_kind") for name, p in _split(spark, sf, False).items())
+    return a.unionByName(b)
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All pieces, with their text; rows delivered again give theirs once."""
+    a, b = (p.select(F.lit(name).alias("item_table"), "*") for name, p in _split(spark, sf, True).items())
+    return a.unionByName(b).dropDuplicates(["item_table", "item_id", "piece_no", "start_pos", "end_pos"])
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids}
+
+#: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
+UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
+P3_SQL = f"""
+SELECT DISTINCT item_table, item_id, CASE WHEN regexp_matches(text, '{UNBROKEN}') THEN 'forced' ELSE 'natural' END AS cut_kind
+FROM (SELECT 'docs' AS item_table, load_id AS item_id, text FROM docs WHERE length(text) > 1800
+      UNION ALL SELECT 'passages', row_id, text FROM passages WHERE length(text) > 1800)
+"""
+
+SQL: dict[str, str] = {"p3_found": P3_SQL}
