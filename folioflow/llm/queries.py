@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.lookalikes import look_alike_keys, look_alike_pairs
+from folioflow.llm.neardup import NearDuplicates, duplicate_groups, duplicate_pairs, near_duplicates
 from folioflow.llm.splitting import cut_kinds, split_oversized
 from folioflow.llm.tokens import encode_corpus
 from folioflow.plans.runtime import table
@@ -42,11 +43,29 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).dropDuplicates(["item_table", "item_id", "piece_no", "start_pos", "end_pos"])
 
 
+#: As TESTDATA.md states the problem: sets of three-word sequences, similarity 0.7, 20 words.
+REVISED_PASSAGES = NearDuplicates(words=3, threshold=0.7, least_words=20)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(table(spark, sf, "passages"), REVISED_PASSAGES))
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_groups(*near_duplicates(table(spark, sf, "passages"), REVISED_PASSAGES))
+
+
+def p5_multiset_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links by multiset overlap of five-word sequences, 0.8 or more, between class representatives."""
+    links, _ = near_duplicates(table(spark, sf, "passages"), NearDuplicates(multiset=True))
+    return links.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids}
 
 #: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
 UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
