@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.leakage import leaked_items
 from folioflow.llm.lookalikes import look_alike_keys, look_alike_pairs
 from folioflow.llm.neardup import NearDuplicates, duplicate_groups, duplicate_pairs, near_duplicates
 from folioflow.llm.splitting import cut_kinds, split_oversized
@@ -65,7 +66,16 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).where("edits = 0").select("doc_id", "item_id")
+
+
+def p7_revised(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks up to one character edit a window, with that number."""
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised}
 
 #: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
 UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
