@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.leakage import leaked_items
 from folioflow.llm.lookalikes import look_alike_keys, look_alike_pairs
 from folioflow.llm.neardup import NearDuplicates, duplicate_groups, duplicate_pairs, near_duplicates
+from folioflow.llm.neighbours import nearest_vectors, neighbour_pairs
 from folioflow.llm.splitting import cut_kinds, split_oversized
 from folioflow.llm.tokens import encode_corpus
 from folioflow.plans.runtime import table
@@ -17,6 +18,10 @@ from folioflow.plans.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbour_pairs(nearest_vectors(table(spark, sf, "vectors")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return look_alike_pairs(look_alike_keys(table(spark, sf, "passages")))
 
@@ -75,7 +80,7 @@ def p7_revised(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised}
 
 #: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
 UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
