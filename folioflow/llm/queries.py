@@ -12,6 +12,7 @@ from folioflow.llm.lookalikes import look_alike_keys, look_alike_pairs
 from folioflow.llm.neardup import NearDuplicates, duplicate_groups, duplicate_pairs, near_duplicates
 from folioflow.llm.neighbours import nearest_vectors, neighbour_pairs
 from folioflow.llm.splitting import cut_kinds, split_oversized
+from folioflow.llm.subjects import document_subjects
 from folioflow.llm.tokens import encode_corpus
 from folioflow.plans.runtime import table
 
@@ -80,7 +81,23 @@ def p7_revised(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised}
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return document_subjects(*(table(spark, sf, name) for name in ("documents", "subjects", "subject_labels")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents and characters of the corpus each subject has, by kind of document."""
+    documents = table(spark, sf, "documents").select("doc_id", "doc_type", F.length("text").alias("chars"))
+    return (
+        _subjects(spark, sf).join(documents, "doc_id").groupBy("subject", "doc_type").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("chars"))
+    )
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised, "p8_found": p8_found, "p8_composition": p8_composition}
 
 #: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
 UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
