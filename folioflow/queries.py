@@ -1,50 +1,268 @@
-"""Registered queries of the core, with equivalent SQL where SQL can say it."""
+"""Registered queries of the core, each over whole tables, with equivalent SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.operators.snapshots import snapshot_changes
+from folioflow.config import Chunking, Prompt, Retrieval
+from folioflow.functions import text as T
+from folioflow.operators import answering, chunking, embedding, lexicon, literal, maintenance
+from folioflow.operators import search as S
+from folioflow.operators.snapshots import normal_path, snapshot_changes
 from folioflow.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: What the ranking queries ask for.
+TERMS = ["harbour", "lantern", "court", "storm"]
+NAMES = ["lantern", "zemiholt", "harbour"]
+PHRASE = "the talk in"
+NEEDLE = "The Talk"
+PLAN = S.QueryPlan(TERMS, NAMES, {"other": -0.01, "character": 0.07}, [PHRASE])
+SETTINGS = Retrieval()
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as passages: the source stands for the file."""
+    none = F.lit("")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("path"), F.coalesce("doc_type", F.lit("other")).alias("doc_type"),
+        F.coalesce("title", none).alias("title"), none.alias("section"), F.coalesce("text", none).alias("text"),
+    )
+
+
+def with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus with the embeddings there are of it; the others have none."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return corpus(spark, sf).join(vectors, "row_id", "left")
+
+
+def query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return [float(x) for x in table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "passages")
+
+
+def tokenised(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.with_tokens(corpus(spark, sf))
+
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot_changes(table(spark, sf, "manifest")).select("snapshot_no", "path", "change_kind")
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found}
-
-P4_SQL = r"""
-WITH m AS (
-  SELECT snapshot_no, delivery_no, regexp_replace(replace(path, '\', '/'), '^\./', '') AS path,
-         lower(trim(hash, ' ')) AS h, size, mtime
-  FROM manifest WHERE path IS NOT NULL AND snapshot_no IS NOT NULL),
-last AS (SELECT snapshot_no, max(delivery_no) AS delivery_no FROM m GROUP BY 1),
-steps AS (SELECT snapshot_no, delivery_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS prev FROM last),
-one AS (
-  SELECT snapshot_no, path, h, size, mtime FROM (
-    SELECT m.*, row_number() OVER (PARTITION BY m.snapshot_no, path
-      ORDER BY mtime DESC NULLS LAST, h DESC NULLS LAST, size DESC NULLS LAST) AS rn
-    FROM m JOIN last USING (snapshot_no, delivery_no)) WHERE rn = 1),
-pairs AS (
-  SELECT s.snapshot_no, p.path FROM steps s JOIN (SELECT DISTINCT snapshot_no, path FROM one) p
-    ON p.snapshot_no IN (s.snapshot_no, s.prev) WHERE s.prev IS NOT NULL GROUP BY ALL),
-sides AS (
-  SELECT q.snapshot_no, q.path, n.path IS NOT NULL AS has_n, o.path IS NOT NULL AS has_o,
-         n.h AS nh, o.h AS oh, n.size AS ns, o.size AS os, n.mtime AS nm, o.mtime AS om
-  FROM pairs q JOIN steps s USING (snapshot_no)
-  LEFT JOIN one n ON n.snapshot_no = q.snapshot_no AND n.path = q.path
-  LEFT JOIN one o ON o.snapshot_no = s.prev AND o.path = q.path),
-kinds AS (
-  SELECT snapshot_no, path, CASE WHEN NOT has_o THEN 'added' WHEN NOT has_n THEN 'removed'
-    WHEN nh IS NOT NULL AND oh IS NOT NULL THEN CASE WHEN nh <> oh THEN 'changed' END
-    WHEN ns IS DISTINCT FROM os OR coalesce(abs(nm - om) > 1.0, false) THEN 'changed' END AS change_kind
-  FROM sides)
-SELECT snapshot_no, path, change_kind FROM kinds WHERE change_kind IS NOT NULL
-"""
-
-SQL: dict[str, str] = {"p4_found": P4_SQL}
+def clean_text_len(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.length(T.clean_text(F.col("text"))).alias("chars"))
+
+
+def collapse_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.collapse(F.col("text"), 80).alias("preview"))
+
+
+def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("hash"))
+
+
+def doc_type_from_path(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "files").select("path", T.doc_type_of(F.col("path")).alias("kind")).distinct()
+
+
+def pretty_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "files").select("path", T.pretty_title(F.col("path")).alias("pretty")).distinct()
+
+
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select("row_id", T.citation(F.col("path"), F.col("section"), F.col("title")).alias("citation")).distinct()
+
+
+def embed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select("row_id", F.length(T.embed_text(F.col("title"), F.col("section"), F.col("text"))).alias("chars")).distinct()
+
+
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenised(spark, sf).select("row_id", "dl")
+
+
+def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.corpus_stats(tokenised(spark, sf)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.term_stats(tokenised(spark, sf))
+
+
+def postings_top_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return doc_frequency(spark, sf).orderBy(F.desc("df"), "term").limit(50)
+
+
+def rare_terms(spark: SparkSession, sf: str) -> DataFrame:
+    t = tokenised(spark, sf)
+    stats = lexicon.term_stats(t).crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("n"))))
+    return lexicon.rare_terms(stats, F.col("n")).select("term", "df")
+
+
+def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = lexicon.bm25_scan(tokenised(spark, sf), TERMS)
+    return scored.where("literal > 0").select("row_id", F.round("literal", 6).alias("literal"))
+
+
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    scored = lexicon.bm25_scan(tokenised(spark, sf), TERMS)
+    return scored.orderBy(F.desc(F.round("literal", 6)), "row_id").limit(20).select("row_id", F.round("literal", 6).alias("literal"))
+
+
+def bm25_from_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores by way of the inverted index."""
+    t = tokenised(spark, sf)
+    scores = lexicon.bm25_indexed(lexicon.postings(t), lexicon.corpus_stats(t), TERMS)
+    return scores.select("row_id", F.round("literal", 6).alias("literal"))
+
+
+def presence_fraction(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenised(spark, sf).select("row_id", F.round(lexicon.presence(NAMES), 6).alias("held")).where("held > 0")
+
+
+def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    q = query_vector(spark, sf)
+    scored = table(spark, sf, "embeddings").select("vec_id", F.round(S.cosine(F.col("embedding"), q), 6).alias("cos"))
+    return scored.orderBy(F.desc("cos"), "vec_id").limit(20)
+
+
+def minmax_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    q = query_vector(spark, sf)
+    scored = table(spark, sf, "embeddings").select("vec_id", S.cosine(F.col("embedding"), q).alias("cos"))
+    bounds = scored.agg(F.min("cos").alias("low"), F.max("cos").alias("high"))
+    value = S.normalised(F.col("cos"), F.col("low"), F.col("high"))
+    return scored.crossJoin(F.broadcast(bounds)).select("vec_id", F.round(value, 6).alias("scaled"))
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("row_id", "path", "tier", F.round("score", 6).alias("score"), "phrase_hit")
+
+
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    plan = S.QueryPlan(PLAN.terms, PLAN.names, PLAN.bonuses, PLAN.phrases, query_vector(spark, sf))
+    return _hits(S.search(with_vectors(spark, sf), plan))
+
+
+def hybrid_type_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    plan = S.QueryPlan(PLAN.terms, PLAN.names, PLAN.bonuses, PLAN.phrases, query_vector(spark, sf))
+    return _hits(S.search(with_vectors(spark, sf), plan, doc_types=["history", "culture"]))
+
+
+def literal_only_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(S.search(corpus(spark, sf), S.QueryPlan(TERMS)))
+
+
+def phrase_boost_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(S.search(corpus(spark, sf), S.QueryPlan(TERMS, [], {}, [PHRASE])))
+
+
+def intent_nudge_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(S.search(corpus(spark, sf), S.QueryPlan(TERMS, [], PLAN.bonuses)))
+
+
+def file_cap_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(S.search(corpus(spark, sf), S.QueryPlan(TERMS), Retrieval(max_per_file=1), k=40))
+
+
+def planned_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A question from words to hits, with names, intent and phrases worked out from it."""
+    c = corpus(spark, sf)
+    r = Retrieval(intent_cues={"location": ("where", "harbour"), "character": ("who is",)})
+    plan = S.plan_query('Where did the "talk in" the Harbour stop the storm?', lexicon.with_tokens(c), r)
+    return _hits(S.search(c, plan, r))
+
+
+def find_literal(spark: SparkSession, sf: str) -> DataFrame:
+    return literal.find_literal(passages(spark, sf), NEEDLE)
+
+
+def find_files(spark: SparkSession, sf: str) -> DataFrame:
+    return literal.find_files(literal.find_literal(passages(spark, sf), NEEDLE))
+
+
+def find_typed(spark: SparkSession, sf: str) -> DataFrame:
+    return literal.find_literal(passages(spark, sf), "the", ["history", "plot"]).groupBy("row_id").agg(F.count(F.lit(1)).alias("places"))
+
+
+def _state(spark: SparkSession, sf: str, number) -> DataFrame:
+    """One snapshot of the manifest, by its last delivery, a record per path."""
+    m = table(spark, sf, "manifest").withColumn("path", normal_path(F.col("path"))).withColumn("hash", F.lower(F.trim("hash")))
+    # One row: the numbers of the last two snapshots and of their last deliveries.
+    last = m.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no")).orderBy(F.desc("snapshot_no")).limit(2).collect()
+    at = last[min(number, len(last) - 1)] if last else None
+    rows = m.where((F.col("snapshot_no") == at[0]) & (F.col("delivery_no") == at[1])) if at else m
+    return maintenance.one_per_path(rows.select("path", "hash", "size", "mtime", "doc_type", "title"))
+
+
+def change_log(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.change_log(_state(spark, sf, 1), _state(spark, sf, 0))
+
+
+def moved_files(spark: SparkSession, sf: str) -> DataFrame:
+    return change_log(spark, sf).where("action = 'moved'").select("path", "old_path")
+
+
+def stale_counts(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "files").select("path", "hash", "size", "mtime")
+    return maintenance.stale_counts(_state(spark, sf, 1), maintenance.one_per_path(files))
+
+
+def status_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.status_by_type(passages(spark, sf))
+
+
+def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).groupBy("path").agg(F.count_distinct("row_id").alias("chunks"))
+
+
+def orphan_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of files that are there no longer."""
+    return passages(spark, sf).join(table(spark, sf, "files").select("path"), "path", "left_anti").select("row_id", "path").distinct()
+
+
+def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of each file's passages fit a prompt, in their order."""
+    rows = passages(spark, sf).groupBy("row_id", "path").agg(F.max(F.length("text")).alias("chars")).where("chars is not null")
+    return answering.prompt_budget(rows, "path", [F.col("row_id")], F.col("chars"), Prompt())
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "docs").withColumn("doc_type", T.doc_type_of(F.col("path")))
+
+
+def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk_documents(_docs(spark, sf), Chunking()).groupBy("path", "doc_id", "section", "start_pos", "end_pos").agg(F.max(F.length("text")).alias("chars"))
+
+
+def chunk_spans_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages, and those that aren't the slice of their document that they say, or too long: 0."""
+    c = Chunking()
+    cut = chunking.chunk_documents(_docs(spark, sf), c)
+    wrong = (F.length("text") != F.col("end_pos") - F.col("start_pos")) | (F.length("text") > c.max_chars + c.overlap_chars)
+    return cut.agg(F.sum(wrong.cast("long")).alias("wrong"), F.min(F.length("text") > 0).alias("filled"))
+
+
+def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The length of each document's hashed embedding: one, or zero for a text without words."""
+    e = table(spark, sf, "documents").select("doc_id", embedding.embed(F.coalesce("text", F.lit(""))).alias("e"))
+    norm = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return e.select("doc_id", F.round(F.sqrt(norm), 4).alias("norm"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p4_found, clean_text_len, collapse_preview, content_hash, doc_type_from_path, pretty_titles, citations, embed_headers,
+        token_counts, corpus_stats, doc_frequency, postings_top_terms, rare_terms, bm25_scores, bm25_topk, bm25_from_postings,
+        presence_fraction, cosine_topk, minmax_normalised, hybrid_topk, hybrid_type_filtered, literal_only_topk, phrase_boost_topk,
+        intent_nudge_topk, file_cap_topk, planned_search, find_literal, find_files, find_typed, change_log, moved_files, stale_counts,
+        status_by_type, chunk_counts, orphan_passages, prompt_budget, chunk_passages, chunk_spans_valid, embedded_texts,
+    )
+}
