@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import match_text, tokens
+from folioflow.plans.runtime import cut
 
 K1, B = 1.5, 0.75
 
@@ -76,7 +77,8 @@ def bm25_scan(tokenised: DataFrame, terms: list[str]) -> DataFrame:
 def bm25_indexed(posted: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     """``row_id, literal`` from stored postings: the terms are a filter that reaches the scan."""
     terms = list(dict.fromkeys(terms))
-    hits = posted.where(F.col("term").isin(terms))
+    # Needed twice, and no more than the postings of the query's terms.
+    hits = cut(posted.where(F.col("term").isin(terms)))
     # One row per query term.
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats))
@@ -89,7 +91,5 @@ def presence(names: list[str]) -> Column:
     names = list(dict.fromkeys(names))
     if not names:
         return F.lit(0.0)
-    held = F.lit(0)
-    for name in names:
-        held = held + F.array_contains("tokens", name).cast("int")
+    held = F.size(F.array_intersect("tokens", F.array(*[F.lit(n) for n in names])))
     return held / F.lit(float(len(names)))

@@ -12,7 +12,7 @@ from folioflow.functions import text as T
 from folioflow.operators import answering, chunking, embedding, lexicon, literal, maintenance
 from folioflow.operators import search as S
 from folioflow.operators.snapshots import normal_path, snapshot_changes
-from folioflow.plans.runtime import table
+from folioflow.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,7 @@ SETTINGS = Retrieval()
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as passages: the source stands for the file."""
     none = F.lit("")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "doc_type", "title", "text")).select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("path"), F.coalesce("doc_type", F.lit("other")).alias("doc_type"),
         F.coalesce("title", none).alias("title"), none.alias("section"), F.coalesce("text", none).alias("text"),
     )
@@ -45,7 +45,8 @@ def query_vector(spark: SparkSession, sf: str) -> list[float]:
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "passages")
+    """The passages without their delivery times."""
+    return spread(table(spark, sf, "passages").drop("indexed_at"))
 
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +235,7 @@ def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "docs").withColumn("doc_type", T.doc_type_of(F.col("path")))
+    return spread(table(spark, sf, "docs")).withColumn("doc_type", T.doc_type_of(F.col("path")))
 
 
 def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
