@@ -203,16 +203,18 @@ def look_alike_pairs(keys: DataFrame) -> DataFrame:
     """``field, row_id_a, row_id_b``: rows whose strings look the same but are not the same string.
 
     Only keys that two or more different strings share are looked at further: they are found by an
-    aggregate over (field, key, raw), so that equal strings, however many, are counted before they
-    are shuffled, and never paired. What is paired is what the result must hold.
+    aggregate over (field, key, raw), so that equal strings, however many, are counted before they are
+    shuffled. Pairs are formed of different spellings, once each, and only then spelt out by rows: rows
+    of equal strings are never compared, and the work is that of writing the result.
     """
     spellings = keys.groupBy("field", "key", "raw").agg(F.count(F.lit(1)).alias("n"))
     varied = cut(spellings.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "key"))
     rows = cut(keys.join(varied, ["field", "key"]).select("field", "key", "raw", "row_id").distinct())
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.key") == F.col("b.key"))
-    return (
-        a.join(b, same & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.row_id") < F.col("b.row_id")))
-        .select("a.field", F.col("a.row_id").alias("row_id_a"), F.col("b.row_id").alias("row_id_b"))
-        .distinct()
-    )
+    ways = rows.select("field", "key", "raw").distinct()
+    one = ways.withColumnRenamed("raw", "raw_a")
+    other = ways.withColumnRenamed("raw", "raw_b")
+    different = one.join(other, ["field", "key"]).where("raw_a < raw_b")
+    a = rows.select("field", "key", F.col("raw").alias("raw_a"), F.col("row_id").alias("a"))
+    b = rows.select("field", "key", F.col("raw").alias("raw_b"), F.col("row_id").alias("b"))
+    spelt = different.join(a, ["field", "key", "raw_a"]).join(b, ["field", "key", "raw_b"]).where("a <> b")
+    return spelt.select("field", F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b")).distinct()

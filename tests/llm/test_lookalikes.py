@@ -51,3 +51,9 @@ def test_empty_and_very_long(spark):
     assert pairs(spark, []) == []
     long = "The door was cold. " * 20_000
     assert pairs(spark, [(1, "p", long, ""), (2, "p", long.replace("e", "е"), "")]) == [("text", 1, 2)]
+
+
+def test_hot_key_pairs_different_spellings_only(spark):
+    rows = [(i, "p", "The door", None) for i in range(300)] + [(900, "p", "The door", None), (901, "p", "T​he door", None)]
+    found = pairs(spark, rows)
+    assert len(found) == 601 and len(set(found)) == 601 and ("text", 900, 901) in found
