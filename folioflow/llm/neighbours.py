@@ -30,7 +30,7 @@ class Neighbours:
     k: int = 10
     dims: int = 64
     projected: int = 6
-    stop: float = 0.7
+    stop: float = 0.85
     block: int = 8192
     leaf: int = 256
     sample: int = 20_000
