@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,16 +26,20 @@ _BITS = 22
 _UNSEEN = regex.compile(r"[\p{Cf}\ufe00-\ufe0f\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180e\u3164\uffa0*_`~\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]+")
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_PLAIN = regex.compile(r"[\p{Cf}\p{M}\ufe00-\ufe0f\u115f\u1160\u3164\uff01-\uff5e\uffa0*_`~\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
+#: The same where no text holds a mark of its own, which is faster to find.
+_LETTERS = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"\p{M}")
+_PLAIN = regex.compile(r"[\u0130\u1e9e\u212a\u212b\u2126\p{Cf}\p{M}\ufe00-\ufe0f\u115f\u1160\u3164\uff01-\uff5e\uffa0*_`~\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
 
 
 def reader_words(text: str | None) -> list[str]:
     """Runs of letters and digits, lower-cased and composed, without emphasis marks and unseen characters."""
     if not text:
         return []
-    if _PLAIN.search(text):
-        text = _UNSEEN.sub("", text.translate(_WIDE))
-    return _WORDS.findall(unicodedata.normalize("NFC", text.lower()))
+    if not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text):
+        return _LETTERS.findall(text.lower())
+    text = unicodedata.normalize("NFC", _UNSEEN.sub("", text.translate(_WIDE)).lower())
+    return (_WORDS if _MARKS.search(text) else _LETTERS).findall(text)
 
 
 def spaced(words: list[str]) -> str:
@@ -98,7 +103,7 @@ class ItemIndex:
     edits: int
     ids: list[int] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
-    windows: list[list[tuple[int, int]]] = field(default_factory=list)
+    windows: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     least: list[int] = field(default_factory=list)
     size: list[int] = field(default_factory=list)
     grams: list[_Grams] = field(default_factory=list)
@@ -119,7 +124,7 @@ class ItemIndex:
             by_q.setdefault(q, []).append(len(self.ids))
             self.ids.append(item_id)
             self.texts.append(text)
-            self.windows.append(windows)
+            self.windows.append((np.array([a for a, _ in windows]), np.array([b for _, b in windows])))
             self.size.append(q)
             self.least.append(max(1, shortest + 1 - q * (edits + 1)))
         for q, members in by_q.items():
@@ -134,7 +139,7 @@ class ItemIndex:
             values, starts = np.unique(h[order], return_index=True)
             seen = np.zeros(1 << _BITS, bool)
             seen[self.slot(values)] = True
-            shortest = min(b - a for n in members for a, b in self.windows[n])
+            shortest = min(int((self.windows[n][1] - self.windows[n][0]).min()) for n in members)
             self.grams.append(
                 _Grams(q, min(self.least[n] for n in members), shortest + edits + 1 - q, values, np.append(starts, len(h)), owner[order], at[order], seen)
             )
@@ -175,6 +180,7 @@ class ItemIndex:
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         limits = np.cumsum([len(t) + 1 for t in texts])
         band = 2 * self.edits + 2
+        least = np.array(self.least)
         found: dict[tuple[int, int], int] = {}
         for g in self.grams:
             where, gram = self.regions(codes, g)
@@ -195,11 +201,11 @@ class ItemIndex:
                     ordered = key[order]
                     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                     sizes = np.diff(np.append(starts, len(ordered)))
-                    for s, size in zip(starts, sizes):
-                        one = order[s]
-                        n_item, n_text = int(item[one]), int(text[one])
+                    enough = sizes >= least[item[order[starts]]]
+                    for s, size in zip(starts[enough].tolist(), sizes[enough].tolist()):
+                        n_item, n_text = int(item[order[s]]), int(text[order[s]])
                         known = found.get((n_text, n_item))
-                        if size < self.least[n_item] or known == 0:
+                        if known == 0:
                             continue
                         rows = order[s : s + size]
                         edits = self.verify(whole, n_item, x[rows], y[rows])
@@ -213,12 +219,12 @@ class ItemIndex:
         order = np.argsort(y, kind="stable")
         x, y = x[order], y[order]
         unlike = []
-        for a, b in self.windows[n]:
-            i, j = np.searchsorted(y, a), np.searchsorted(y, b - q, side="right")
-            if j - i < b - a + 1 - q * (self.edits + 1):
-                continue
-            at = int(x[i] - y[i]) + a
-            if whole[max(0, at - self.edits) : at + b - a + self.edits].find(text[a:b]) >= 0:
+        begins, ends = self.windows[n]
+        i, j = np.searchsorted(y, begins), np.searchsorted(y, ends - q, side="right")
+        for k in np.flatnonzero(j - i >= np.maximum(1, ends - begins + 1 - q * (self.edits + 1))):
+            a, b = int(begins[k]), int(ends[k])
+            at = int(x[i[k]] - y[i[k]]) + a
+            if whole.find(text[a:b], max(0, at - self.edits), at + b - a + self.edits) >= 0:
                 return 0
             unlike.append((a, b, at))
         for a, b, at in unlike:
