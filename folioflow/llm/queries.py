@@ -98,13 +98,3 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p5_multiset_links": p5_multiset_links, "p6_ids": p6_ids, "p7_found": p7_found, "p7_revised": p7_revised, "p8_found": p8_found, "p8_composition": p8_composition}
-
-#: A run of more than 1,800 characters, written for engines whose repeat counts end at 1,000.
-UNBROKEN = r"[^ \t\n\r]{1000}[^ \t\n\r]{801}"
-P3_SQL = f"""
-SELECT DISTINCT item_table, item_id, CASE WHEN regexp_matches(text, '{UNBROKEN}') THEN 'forced' ELSE 'natural' END AS cut_kind
-FROM (SELECT 'docs' AS item_table, load_id AS item_id, text FROM docs WHERE length(text) > 1800
-      UNION ALL SELECT 'passages', row_id, text FROM passages WHERE length(text) > 1800)
-"""
-
-SQL: dict[str, str] = {"p3_found": P3_SQL}
