@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.config import Prompt, Retrieval, load_config
 from folioflow.operators import answering, maintenance
 from folioflow.operators.embedding import hashed
-from folioflow.sources.library import load_documents, scan_library
+from folioflow.sources.library import load_documents, read_odt, read_rtf, scan_library
 from folioflow.sources.store import current_version, read_index, save_index
 from folioflow.streaming.ingest import DOCS, ingest
 
@@ -120,3 +120,18 @@ def test_stream(spark, tmp_path):
     query = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_rtf():
+    head = r"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Times;}}{\*\generator Some Word;}"
+    body = r"Caf\'e9 \u8220?open\u8221?\par next\~one\_two\-three {\field{\*\fldinst HYPERLINK x}{\fldrslt seen}} \{x\}"
+    assert read_rtf((head + body + "}").encode()) == "Caf\u00e9 \u201copen\u201d\nnext\u00a0one-twothree seen {x}"
+    assert read_rtf(b"{\\rtf1 one\\\ntwo\\\r\nthree \\uc2\\u55357??\\u56842??}") == "one\ntwo\nthree \U0001f60a"
+
+
+def test_odt():
+    t = "xmlns:t='urn:t'"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", f"<d {t}><t:h t:outline-level='2'>Act</t:h><t:p>It<t:s/>ends<t:line-break/>here</t:p></d>")
+    assert read_odt(out.getvalue()) == "## Act\n\nIt ends\nhere"
