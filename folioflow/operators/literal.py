@@ -32,7 +32,7 @@ def find_literal(passages: DataFrame, needle: str, doc_types: list[str] | None =
     passages hold is reported once, for the smallest row_id. Blank needles are an error; null texts
     hold nothing.
 
-    Only rows that hold the string at all (tested in the scan's stage) go to Python, in Arrow batches,
+    Only rows that hold the string at all (tested in the scan's stage) are folded and go to Python, in Arrow batches,
     where the places are found one after the other in linear time.
     """
     folded = needle.translate({ord(a): b for a, b in FOLDS.items()}).lower()
@@ -41,8 +41,10 @@ def find_literal(passages: DataFrame, needle: str, doc_types: list[str] | None =
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
     rows = passages.where(F.col("doc_type").isin(doc_types)) if doc_types else passages
-    form = offset_form(F.col("text"))
-    rows = rows.withColumn("form", form).where(F.col("form").contains(folded))
+    # A pattern of what each character may stand for needs no fold of the texts that lack the string.
+    variants = {c: [c, *(a for a, b in FOLDS.items() if b == c)] for c in set(folded)}
+    pattern = "".join("[" + "".join(f"\\x{{{ord(v):x}}}" for v in variants[c]) + "]" for c in folded)
+    rows = rows.where(F.lower("text").rlike(pattern)).withColumn("form", offset_form(F.col("text"))).where(F.col("form").contains(folded))
     places = _places(folded)(F.col("form"))
     found = rows.select("row_id", "path", "doc_id", F.col("start_pos").alias("base"), F.explode(places).alias("local"))
     found = found.withColumn("position", F.coalesce("base", F.lit(0)) + F.col("local"))
