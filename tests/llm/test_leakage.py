@@ -50,6 +50,23 @@ def test_equals_brute_force(spark):
     assert verbatim(spark, docs, items) == brute(docs, items)
 
 
+def test_passes_and_stretches_change_nothing(spark, monkeypatch):
+    from folioflow.llm import leakage
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([4, 15, 30])))) for i in range(12)]
+    docs = []
+    for d in range(20):
+        words = rng.choices(vocabulary, k=400)
+        part = reader_words(items[rng.randrange(12)][1])
+        at = rng.randrange(400)
+        docs.append((d, " ".join(words[:at] + part + words[at:])))
+    monkeypatch.setattr(leakage, "AT_ONCE", 300)
+    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 400)
+    assert verbatim(spark, docs, items) == brute(docs, items)
+
+
 def test_one_edit(spark):
     item = "the quick brown fox jumps over the lazy dog near the old stone bridge"
     docs = [(1, item), (2, "x " + item.replace("jumps", "jumped", 1).replace("jumped", "jumpz")), (3, item.replace("jumps", "leapt"))]
