@@ -262,7 +262,8 @@ def nearest_vectors(vectors: DataFrame, p: Neighbours = Neighbours(), **columns:
 
     placed = points.select("rep", "members", "embedding").mapInArrow(place, "cell int, rep bigint, members array<bigint>, embedding array<float>")
     held = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    subs = F.element_at(F.array(*[F.lit(max(1, -(-held.get(c, 0) // (p.block * 2)))) for c in range(2**depth)]), F.col("cell") + 1)
+    parts = [max(1, -(-held.get(c, 0) // (p.block * 2))) for c in range(2**depth)]
+    subs = F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1)
 
     def pack(table: pa.Table) -> pa.Table:
         members = table.column("members").to_pylist()
@@ -327,8 +328,9 @@ def nearest_vectors(vectors: DataFrame, p: Neighbours = Neighbours(), **columns:
         if search is not None:
             yield done(search)
 
-    tasks = max(1, sum(max(1, -(-h // (p.block * 2))) for h in held.values()))
-    found = stream.repartition(tasks, "qc", "qs").sortWithinPartitions("qc", "qs", "far").mapInArrow(finish, "rep bigint, near array<bigint>")
+    # Blocks are numbered through, so that each has a task of its own.
+    number = F.element_at(F.array(*[F.lit(sum(parts[:c])) for c in range(2**depth)]), F.col("qc") + 1) + F.col("qs")
+    found = stream.repartitionById(sum(parts), number).sortWithinPartitions("qc", "qs", "far").mapInArrow(finish, "rep bigint, near array<bigint>")
     by_key = found.join(points.select("rep", "vkey"), "rep").select("vkey", "near")
     of_row = usable.select("row_id", "vkey").join(by_key, "vkey")
     others = F.slice(F.filter("near", lambda x: x != F.col("row_id")), 1, p.k)
