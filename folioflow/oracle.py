@@ -130,6 +130,8 @@ SQL: dict[str, str] = {
     "clean_text_len": r"""SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(text, chr(65279), ''),
         '\r\n?', chr(10), 'g'), chr(8232), chr(10)), '[\x{2029}\f]', chr(10) || chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'),
         '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)))::INT AS chars FROM documents""",
+    "collapse_preview": r"""SELECT doc_id, CASE WHEN length(line) <= 80 THEN line ELSE rtrim(substr(line, 1, 77), ' ') || '...' END AS preview
+        FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line FROM documents)""",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "doc_type_from_path": f"""WITH kinds(folder, kind) AS (VALUES {_KINDS}), f AS (SELECT DISTINCT path FROM files),
         parts AS (SELECT path, unnest(string_split(path, '/')[:-2]) AS part, generate_subscripts(string_split(path, '/')[:-2], 1) AS pos FROM f),
