@@ -61,7 +61,8 @@ def pieces(text: str, start: int, end: int, limit: int = LIMIT, overlap: int = O
 
     Each piece is packed up to ``limit`` and ends at the last boundary of the coarsest level that it
     holds. The next one goes back up to ``overlap`` characters, to the start of a sentence or word,
-    unless the text that follows then wouldn't fit without cutting a word.
+    unless a word that fits a piece by itself would have to be cut for that. Within a run that is cut
+    anyway it goes back the whole ``overlap``, less only where a character has to be kept whole.
     """
     paragraphs = [m.end() for m in _PARAGRAPH.finditer(text, start, end)]
     sentences = [m.end() for m in _SENTENCE.finditer(text, start, end)]
@@ -76,15 +77,22 @@ def pieces(text: str, start: int, end: int, limit: int = LIMIT, overlap: int = O
             return high
         return max([-1, *(p + 1 for p in (text.rfind(b, low, high) for b in _BLANKS) if p >= low)])
 
+    def boundary(low: int, high: int) -> tuple[str, int]:
+        """(level, place) of the last boundary of the coarsest level in (low, high]; -1 for none."""
+        for level, at in (("paragraph", last(paragraphs, low, high)), ("sentence", last(sentences, low, high)), ("word", word_end(low, high))):
+            if at > low:
+                return level, at
+        return "character", -1
+
     out: list[tuple[int, int, str]] = []
     begin = done = start  # the piece's start, with overlap; what earlier pieces hold
     while end - begin > limit:
         stop = begin + limit
-        for level, at in (("paragraph", last(paragraphs, done, stop)), ("sentence", last(sentences, done, stop)), ("word", word_end(done, stop))):
-            if at > done:
-                break
-        else:
-            if begin < done:
+        level, at = boundary(done, stop)
+        if at < 0:
+            # The overlap is given up only for a word that is whole without it, not for the rest of one that was cut.
+            cut = bool(out) and out[-1][2] == "character"
+            if begin < done and not cut and (end - done <= limit or boundary(done, done + limit)[1] > 0):
                 begin = done
                 continue
             pause = [m.end() for m in _PAUSE.finditer(text, done + limit // 2, stop)]

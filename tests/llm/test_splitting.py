@@ -72,3 +72,24 @@ def test_query_form(spark):
     assert split_oversized(df.limit(0), "row_id").count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "row_id", overlap=900)
+
+
+@pytest.mark.parametrize("tail", [1, 1640, 1700, 1800, 5000, 100_000])
+def test_pieces_of_a_run_overlap(tail):
+    for front, back in (("a b ", ""), ("", " c d"), ("One two. " * 300, " " + "v" * 1799)):
+        out = check(front + "w" * (3600 + tail) + back, section="")
+        after_cut = [b[0] - a[1] for a, b in zip(out, out[1:]) if a[3] == "character"]
+        assert len(after_cut) >= 2 and set(after_cut) == {-150}
+    assert check("a b " + "w" * 5000, section="")[1][:2] == (2, 1802)
+
+
+def test_overlap_in_a_run_with_pauses_and_marks():
+    for run in ("語" * 997 + "。", "e\u0301"):
+        text = run * (20_000 // len(run))
+        for a, b in zip(out := check(text, section=""), out[1:]):
+            assert 148 <= a[1] - b[0] <= 150 and text[b[0]] != "\u0301"
+
+
+def test_whole_words_go_before_overlap():
+    out = check("a b " + "w" * 1799 + " " + "v" * 1750, section="")
+    assert [x[:2] for x in out] == [(0, 4), (4, 1804), (1804, 3554)] and "character" not in {x[3] for x in out}
