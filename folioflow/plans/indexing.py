@@ -33,8 +33,8 @@ def update_index(spark: SparkSession, library: str, index: str, config: Config =
     """Index what was added or changed under ``library``, keep the rest; returns (change log, skipped files).
 
     Passages of unchanged, retyped and moved files are taken over with their vectors; only other files
-    are read, cut and embedded. A file that can't be read any more loses its passages and is listed as
-    skipped. Other chunking settings or another layout make everything new. The row ids are hashes of
+    are cut and embedded. A file that can't be read any more, or is over the size limit, loses its passages
+    and is listed as skipped. Other chunking settings or another layout make everything new. The row ids are hashes of
     path and place, so they don't depend on what was indexed before. Nothing is written by a dry run.
     """
     importable(spark)
@@ -43,13 +43,17 @@ def update_index(spark: SparkSession, library: str, index: str, config: Config =
     scanned = scan_library(spark, library, config.library)
     docs, skipped = load_documents(scanned)
     skipped = cut(skipped)
-    state = cut(scanned.drop("content", "suffix").join(skipped.select("path"), "path", "left_anti"))
+    state = cut(scanned.drop("content", "suffix", "reason", "hint").join(skipped.select("path"), "path", "left_anti"))
     log = cut(change_log(manifest, state))
     if dry_run:
         return log, skipped
     kept = log.where("action in ('unchanged', 'retyped', 'moved')").select(F.col("path").alias("now"), F.col("old_path").alias("path"))
     kinds = state.select(F.col("path").alias("now"), F.col("doc_type").alias("kind"), F.col("title").alias("name"))
-    reused = old.join(kept, "path").join(kinds, "now").drop("path", "doc_type", "title").withColumnsRenamed({"now": "path", "kind": "doc_type", "name": "title"})
+    before = manifest.select("path", F.col("title").alias("was"))
+    # Only a passage titled after its file follows the file's title; those of a project have their own.
+    title = F.when(F.col("title") == F.col("was"), F.col("name")).otherwise(F.col("title"))
+    reused = old.join(kept, "path").join(before, "path").join(kinds, "now").withColumn("title", title)
+    reused = reused.drop("path", "doc_type", "was", "name").withColumnsRenamed({"now": "path", "kind": "doc_type"})
     work = docs.join(log.where("action in ('added', 'updated')").select("path"), "path", "left_semi")
     vector = embed(embed_text(F.col("title"), F.col("section"), F.col("text")))
     fresh = chunk_documents(work, config.chunking).withColumn("embedding", vector).drop("chunk_no")

@@ -1,5 +1,9 @@
+from dataclasses import replace
+
 from folioflow import cli
+from folioflow.config import Config, Library
 from folioflow.plans.indexing import update_index
+from folioflow.sources.library import load_documents, scan_library
 from folioflow.sources.store import read_index
 
 
@@ -43,3 +47,50 @@ def test_index_follows_the_library(spark, tmp_path):
     assert cli.main([*at, "find", "HARBOUR"])[0]["path"] == "locations/one.md"
     assert cli.main([*at, "ask", "where is the harbour", "-k", "1"])[0]["where"] == "locations/one.md (One)"
     assert {r["doc_type"] for r in cli.main([*at, "status"])} == {"location", "plot"}
+
+
+SCRIVX = """<ScrivenerProject><Binder>
+<BinderItem UUID="D" Type="DraftFolder"><Title>Draft</Title><Children>
+<BinderItem UUID="A1" Type="Text"><Title>The Crossing</Title></BinderItem><BinderItem ID="7" Type="Text"><Title>Old</Title></BinderItem>
+</Children></BinderItem>
+<BinderItem UUID="T" Type="TrashFolder"><Title>Trash</Title><Children><BinderItem UUID="B2" Type="Text"><Title>Gone</Title></BinderItem></Children></BinderItem>
+</Binder></ScrivenerProject>"""
+
+
+def awkward(lib):
+    write(lib, **{"notes/_draft.md": "An underscore.", "_plan/a+b %20é.md": "A folder.", "notes/.secret.md": "A dot.", ".trash/x.md": "A dot folder.", "notes/big.txt": "b" * 3000, "notes/big.png": "p" * 3000, "notes/empty.rtfd/pic.png": "p"})
+    write(lib, **{"notes/walk.rtfd/TXT.rtf": r"{\rtf1 A walk.}", "notes/walk.rtfd/pic.png": "p" * 100, "book/my_novel.scriv/my_novel.scrivx": SCRIVX})
+    for place, text in {"Data/A1/content.rtf": "They cross.", "Docs/7.rtf": "They wait.", "Data/B2/content.rtf": "Thrown away."}.items():
+        write(lib, **{f"book/my_novel.scriv/Files/{place}": rf"{{\rtf1 {text}}}"})
+
+
+def test_scan_names_sizes_and_bundles(spark, tmp_path):
+    awkward(tmp_path / "lib")
+    small = Library(max_file_mb=2500 / 2**20)
+    docs, skipped = load_documents(scan_library(spark, str(tmp_path / "lib"), small))
+    shown = {
+        ("notes/_draft.md", "", "Draft", "", "An underscore."),
+        ("_plan/a+b %20é.md", "", "A+b %20é", "", "A folder."),
+        ("notes/walk.rtfd", "", "Walk", "", " A walk."),
+        ("book/my_novel.scriv", "A1", "The Crossing", "Draft", "# The Crossing\n\nThey cross."),
+        ("book/my_novel.scriv", "7", "Old", "Draft", "# Old\n\nThey wait."),
+    }
+    columns = ["path", "doc_id", "title", "section_prefix", "text"]
+    assert {(*r[:4], r[4].strip()) for r in docs.select(columns).collect()} == {(*x[:4], x[4].strip()) for x in shown}
+    assert {r.path: bool(r.reason and r.hint) for r in skipped.collect()} == {"notes/big.txt": True, "notes/empty.rtfd": True}
+    docs, _ = load_documents(scan_library(spark, str(tmp_path / "lib"), replace(small, skip_hidden=False)))
+    assert {r.path for r in docs.collect()} == {x[0] for x in shown} | {"notes/.secret.md", ".trash/x.md"}
+
+
+def test_index_of_bundles_and_oversized_files(spark, tmp_path):
+    lib, index = tmp_path / "lib", str(tmp_path / "index")
+    awkward(lib)
+    update_index(spark, str(lib), index)
+    assert read_index(spark, index, "passages").where("path = 'notes/big.txt'").count() > 0
+    (lib / "book/my_novel.scriv").rename(lib / "book/renamed.scriv")
+    log, skipped = update_index(spark, str(lib), index, Config(library=Library(max_file_mb=2500 / 2**20)))
+    assert {(r.path, r.action) for r in log.where("action <> 'unchanged'").collect()} == {("book/renamed.scriv", "moved"), ("notes/big.txt", "removed")}
+    assert {r.path for r in skipped.collect()} == {"notes/big.txt", "notes/empty.rtfd"}
+    after = read_index(spark, index, "passages")
+    assert {(r.doc_id, r.title) for r in after.where("path = 'book/renamed.scriv'").collect()} == {("A1", "The Crossing"), ("7", "Old")}
+    assert after.where("path = 'notes/big.txt'").count() == 0
