@@ -14,6 +14,8 @@ from folioflow.llm.hashing import groups_of, mix, powers
 from folioflow.plans.runtime import cut, spread
 
 AT_ONCE = 1_000_000
+#: Raters that are functions of their own; all others are one together.
+OWN_RATERS = 8
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _BITS = 20
@@ -286,7 +288,9 @@ def document_subjects(
     Labelling functions for each document and subject: the lexicon's share of sentences; whether
     ``m.section_share`` of its sentences stand in paragraphs of ``m.section_least`` sentences or more that
     are mostly about it; words of title and source name (its address); how often documents of its
-    source are about it; and each rater's labels. The numbers of documents by pattern
+    source are about it; the labels of each of the eight raters with most of them; and the labels of all
+    other raters together, by whether none, fewer than half or more of those who labelled the
+    document name the subject. The numbers of documents by pattern
     of votes are aggregated over the whole corpus, the accuracies of the functions are learnt from them
     without knowing the truth, and a document has the subjects of posterior ``m.posterior`` or more.
 
@@ -356,18 +360,30 @@ def document_subjects(
         .where("habit > 0")
     )
 
-    raters = [r[0] for r in given.groupBy("rater").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rater").limit(8).collect()]
+    raters = [r[0] for r in given.groupBy("rater").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rater").limit(OWN_RATERS + 1).collect()]
+    raters, pooled = raters[:OWN_RATERS], len(raters) > OWN_RATERS
     # One row per labelled document and subject: 2 a rater's yes, 1 the no of a rater who gave other labels.
     by_doc = given.groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("rater") == r, F.col("subject"))).alias(f"r{i}") for i, r in enumerate(raters)]) if raters else None
     joined = seen.join(habit, ["source", "subject"], "left")
     if raters:
-        said = by_doc.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[f"r{i}" for i in range(len(raters))])))).alias("subject"), F.lit(True).alias("labelled"))
-        known_docs = docs.select("doc_id").distinct()
-        extra = said.where("subject >= 0").join(known_docs, "doc_id", "left_semi").select("doc_id", "subject")
-        joined = joined.join(extra.withColumn("labelled", F.lit(True)), ["doc_id", "subject"], "full").join(by_doc, "doc_id", "left")
+        named_by = [F.col(f"r{i}") for i in range(len(raters))]
         opinions = [
             F.when(F.array_contains(f"r{i}", F.col("subject")), 2).when(F.size(f"r{i}") > 0, 1).otherwise(0).alias(f"v{i}") for i in range(len(raters))
         ]
+        if pooled:
+            # Counted by subject, so a document with any number of raters stays small.
+            others = given.where(~F.col("rater").isin(raters))
+            yes = others.groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("yes"))
+            yes = yes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "yes"))).alias("rest"))
+            by_doc = by_doc.join(yes, "doc_id", "left").join(others.groupBy("doc_id").agg(F.count_distinct("rater").alias("rest_raters")), "doc_id", "left")
+            named_by.append(F.coalesce(F.map_keys("rest"), F.array().cast("array<int>")))
+            votes = F.coalesce(F.try_element_at("rest", F.col("subject")), F.lit(0))
+            half = votes * 2 >= F.col("rest_raters")
+            opinions.append(F.when(F.col("rest_raters").isNull(), 0).when(votes == 0, 1).when(half, 3).otherwise(2).alias("rest_vote"))
+        said = by_doc.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*named_by)))).alias("subject"), F.lit(True).alias("labelled"))
+        known_docs = docs.select("doc_id").distinct()
+        extra = said.where("subject >= 0").join(known_docs, "doc_id", "left_semi").select("doc_id", "subject")
+        joined = joined.join(extra.withColumn("labelled", F.lit(True)), ["doc_id", "subject"], "full").join(by_doc, "doc_id", "left")
     else:
         opinions = []
     share = F.coalesce("share", F.lit(0.0))

@@ -1,5 +1,6 @@
 import random
 
+from folioflow.llm import subjects as module
 from folioflow.llm.subjects import Lexicon, Sentences, SubjectModel, accuracy_model, document_subjects, majority
 
 import numpy as np
@@ -89,3 +90,13 @@ def test_empty_tables(spark):
     assert found(spark, [], labels) == set()
     assert found(spark, docs, labels, []) == set()
     assert isinstance(found(spark, docs, []), set)
+
+
+def test_labels_of_all_raters_vote(spark, monkeypatch):
+    docs, truth, _ = corpus()
+    labels = [(i, s, f"r{i % 12}") for i, s in truth] + [(i, "none", f"r{i % 12}") for i in range(400)] + [(0, "law", f"few{k}") for k in range(5)] + [(0, "trade", "few0")]
+    seen = []
+    monkeypatch.setattr(module, "accuracy_model", lambda patterns, *rest: seen.extend(patterns) or accuracy_model(patterns, *rest))
+    found(spark, docs, labels)
+    assert sum(w for p, w in seen if any(v >= 2 for v in p[4:])) == len({x[:2] for x in labels if x[1] != "none"})
+    assert {p[-1] for p, _ in seen} == {0, 1, 2, 3} and {len(p) for p, _ in seen} == {4 + 9}
