@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,9 @@ class SubjectModel:
 
     The first lexicon is fitted on about ``most_labelled`` labelled documents, never more than twice as
     many; passes over all documents refine it, until at most a share of ``settled`` of its words changed
-    or after ``most_rounds``. It holds at most ``most_terms`` words. ``levels`` are the bounds of the
-    share of a document's sentences that the lexicon function reports.
+    or after ``most_rounds``. It holds every word that qualifies; from more than ``most_terms`` on, its size
+    is logged as a warning. ``levels`` are the bounds of the share of a document's sentences that the
+    lexicon function reports.
     """
 
     most_labelled: int = 20_000
@@ -109,6 +111,10 @@ class Lexicon:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.hashes >> np.uint64(64 - _BITS)] = True
 
+    def __getstate__(self) -> dict:
+        """What tasks need: 16 bytes a word, without the words themselves."""
+        return self.__dict__ | {"words": {}}
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The subject of each word, -1 for none."""
         out = np.full(len(hashes), -1, np.int64)
@@ -158,13 +164,16 @@ def _summed(counts: DataFrame, n: int) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])
 
 
-def _chosen(counts: DataFrame, n: int, share: float, least: int, most: int) -> list[tuple[str, int]]:
-    """Words of which at least ``share`` of the occurrences speak for one subject; bounded, so collected."""
-    top = F.greatest(*[F.col(f"s{k}") for k in range(n)])
-    rows = (
-        counts.where(top >= least).where(top / F.col("n") >= share).orderBy(F.desc(top), "word").limit(most).collect()
-    )
-    return [(r["word"], max(range(n), key=lambda k: (r[f"s{k}"], -k))) for r in rows]
+def _chosen(counts: DataFrame, n: int, share: float, least: int, many: int) -> list[tuple[str, int]]:
+    """Words of which at least ``share`` of the occurrences speak for one subject, with that subject (the first of equals)."""
+    by = [F.col(f"s{k}") for k in range(n)]
+    top = F.greatest(*by) if n > 1 else by[0]
+    best = F.array_position(F.array(*by), top).cast("int") - 1
+    # Only words and numbers come to the driver: the part of the vocabulary that is bound to a subject.
+    rows = counts.where(top >= least).where(top / F.col("n") >= share).select("word", best.alias("subject")).collect()
+    if len(rows) > many:
+        logging.getLogger(__name__).warning("the lexicon has %d words, more than %d; all are kept", len(rows), many)
+    return sorted((r["word"], r["subject"]) for r in rows)
 
 
 def clean_labels(labels: DataFrame, names: list[str], doc_id: str = "doc_id", subject: str = "subject", rater: str = "rater") -> DataFrame:
@@ -294,8 +303,8 @@ def document_subjects(
     of votes are aggregated over the whole corpus, the accuracies of the functions are learnt from them
     without knowing the truth, and a document has the subjects of posterior ``m.posterior`` or more.
 
-    The subjects (a small fixed table) and the lexicon (at most ``m.most_terms`` words) are bounded and
-    travel with the tasks; documents are never shuffled with their text. Null, empty and wordless texts
+    The subjects (a small fixed table) and the lexicon (16 bytes for each word bound to a subject) travel
+    with the tasks; documents are never shuffled with their text. Null, empty and wordless texts
     have no subject; null titles, sources and raters abstain; labels of unknown subjects or documents
     are ignored, doubled ones count once; extra columns are ignored.
     """

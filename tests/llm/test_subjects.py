@@ -1,7 +1,7 @@
 import random
 
 from folioflow.llm import subjects as module
-from folioflow.llm.subjects import Lexicon, Sentences, SubjectModel, accuracy_model, document_subjects, majority
+from folioflow.llm.subjects import Lexicon, Sentences, SubjectModel, accuracy_model, clean_labels, document_subjects, fit_lexicon, majority
 
 import numpy as np
 
@@ -100,3 +100,14 @@ def test_labels_of_all_raters_vote(spark, monkeypatch):
     found(spark, docs, labels)
     assert sum(w for p, w in seen if any(v >= 2 for v in p[4:])) == len({x[:2] for x in labels if x[1] != "none"})
     assert {p[-1] for p, _ in seen} == {0, 1, 2, 3} and {len(p) for p, _ in seen} == {4 + 9}
+
+
+def test_lexicon_keeps_every_word_that_qualifies(spark, caplog):
+    docs, _, labels = corpus()
+    texts = spark.createDataFrame(docs, DOCS).select("doc_id", "text")
+    given = clean_labels(spark.createDataFrame(labels, LABELS), sorted(WORDS))
+    meaning = [(s, f"about {s}") for s in sorted(WORDS)]
+    whole = fit_lexicon(texts, given, meaning, SubjectModel())
+    assert not caplog.records and {(w, k) for k, s in enumerate(sorted(WORDS)) for w in WORDS[s]} <= whole.words.items()
+    assert fit_lexicon(texts, given, meaning, SubjectModel(most_terms=5)).words == whole.words
+    assert "all are kept" in caplog.text
