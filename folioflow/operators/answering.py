@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.config import Prompt
 from folioflow.functions.text import COMMON_WORDS, tokens
@@ -27,19 +29,35 @@ def prompt_budget(hits: DataFrame, by: str, order: list, size: Column, p: Prompt
     """``by, used, context_chars``: how many hits of each group fit the budget.
 
     In the given order, the first hit always; a hit that doesn't fit is left out and later, smaller
-    ones may still be taken. That depends on what was taken before, so it is a fold over the group's
-    sorted sizes, which a shortlist keeps short.
+    ones may still be taken. That depends on what was taken before, so the rows of a group are sorted in
+    one partition and only its two sums go from row to row, whatever its length. A null size counts as 0.
     """
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct(*order, size.alias("size")))), lambda x: x["size"].cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("total"))
-
-    def take(state, n):
-        cost = n + p.per_passage
-        fits = (state["used"] == 0) | (state["total"] + cost <= p.budget)
-        return F.struct((state["used"] + fits.cast("long")).alias("used"), (state["total"] + F.when(fits, cost).otherwise(0)).alias("total"))
-
-    folded = hits.groupBy(by).agg(sizes.alias("sizes")).withColumn("state", F.aggregate("sizes", start, take))
-    return folded.select(by, F.col("state.used").alias("used"), F.col("state.total").alias("context_chars"))
+    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    rows = hits.select(F.col(by).alias("by"), *keys, F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    placed = rows.repartition("by").sortWithinPartitions("by", *[f"o{i}" for i in range(len(order))], "size").select("by", "size")
+
+    def states(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64()))], names=[by, "used", "context_chars"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, total = None, 0, 0
+        for batch in batches:
+            done = []
+            for key, n in zip(batch["by"].to_pylist(), batch["size"].to_pylist()):
+                if used and key != group:
+                    done.append((group, used, total))
+                    used, total = 0, 0
+                group = key
+                if not used or total + n + p.per_passage <= p.budget:
+                    used, total = used + 1, total + n + p.per_passage
+            kind = batch.schema.field("by").type
+            yield states(done, kind)
+        if used:
+            yield states([(group, used, total)], kind)
+
+    kind = hits.schema[by].dataType
+    return placed.mapInArrow(fold, StructType([StructField(by, kind), StructField("used", LongType()), StructField("context_chars", LongType())]))
 
 
 def build_messages(question: str, hits: list[dict], history: list[dict[str, str]] = (), system: str = "", p: Prompt = Prompt()) -> list[dict[str, str]]:

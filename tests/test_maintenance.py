@@ -135,3 +135,21 @@ def test_odt():
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("content.xml", f"<d {t}><t:h t:outline-level='2'>Act</t:h><t:p>It<t:s/>ends<t:line-break/>here</t:p></d>")
     assert read_odt(out.getvalue()) == "## Act\n\nIt ends\nhere"
+
+
+def test_prompt_budget_of_long_groups(spark):
+    p = Prompt(max_context_chars=1000, per_passage=10)
+    rows = [(path, (i * 7919) % 500, (i * 37) % 400) for k, path in enumerate(["a", None, "b", "c"]) for i in range(k, 500)]
+    expected = {}
+    for path, _, n in sorted(rows, key=lambda r: r[1:]):
+        used, total = expected.get(path, (0, 0))
+        if not used or total + n + 10 <= p.budget:
+            expected[path] = (used + 1, total + n + 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = answering.prompt_budget(spark.createDataFrame(rows, "path string, n int, chars int"), "path", [F.col("n")], F.col("chars"), p)
+        assert {r.path: (r.used, r.context_chars) for r in out.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert answering.prompt_budget(spark.createDataFrame([], "path string, n int, chars int"), "path", [F.col("n")], F.col("chars"), p).count() == 0
