@@ -76,9 +76,14 @@ def build_messages(question: str, hits: list[dict], history: list[dict[str, str]
 
 
 def history_window(messages: DataFrame, keep: int = KEPT_MESSAGES, chars: int = KEPT_CHARS) -> DataFrame:
-    """The last messages of each conversation (conv_id, turn, role, text), answers shortened."""
+    """The last messages of each conversation (conv_id, turn, role, text), answers of more than ``chars`` shortened.
+
+    Each task keeps its own last messages before the shuffle, so no conversation is brought together whole.
+    """
     turn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    short = F.when(F.col("role") == "assistant", F.substring("text", 1, chars)).otherwise(F.col("text"))
+    said = F.trim("text")
+    told = F.when(F.length(said) > chars, F.concat(F.rtrim(F.substring(said, 1, chars)), F.lit(" ..."))).otherwise(said)
+    short = F.when(F.col("role") == "assistant", told).otherwise(F.col("text"))
     return messages.withColumn("back", turn).where(F.col("back") <= keep).withColumn("text", short).drop("back")
 
 
@@ -87,6 +92,6 @@ def followup_text(messages: DataFrame) -> DataFrame:
     users = messages.where("role = 'user'").withColumn("words", tokens(F.col("text")))
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     points = F.arrays_overlap("words", F.array(*[F.lit(x) for x in PRONOUNS]))
-    subject = F.size(F.filter("words", lambda w: ~w.isin(*COMMON_WORDS, *PRONOUNS))) > 2
+    subject = F.size(F.filter("words", lambda w: ~w.isin(*sorted(COMMON_WORDS), *PRONOUNS))) > 0
     uses = points & before.isNotNull() & ((F.size("words") <= 8) | ~subject)
     return users.withColumn("before", before).withColumn("search_text", F.when(uses, F.concat_ws(" ", before, "text")).otherwise(F.col("text"))).drop("words", "before")

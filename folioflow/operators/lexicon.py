@@ -11,9 +11,9 @@ from folioflow.plans.runtime import cut
 K1, B = 1.5, 0.75
 
 
-def with_tokens(passages: DataFrame, compose: bool = False) -> DataFrame:
+def with_tokens(passages: DataFrame) -> DataFrame:
     """``passages`` with ``tokens`` of title, section and text, and their number ``dl``."""
-    words = tokens(match_text(F.col("title"), F.col("section"), F.col("text")), compose)
+    words = tokens(match_text(F.col("title"), F.col("section"), F.col("text")))
     return passages.withColumn("tokens", words).withColumn("dl", F.size("tokens"))
 
 
@@ -49,47 +49,63 @@ def _weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Col
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def count_of(term: str) -> Column:
-    return F.size(F.filter("tokens", lambda x: x == term))
+def counted_terms(passages: DataFrame, terms: list[str]) -> DataFrame:
+    """``passages`` without their texts, with ``dl`` and ``tf array<int>`` (one place a term), written once.
+
+    The only pass over the texts that ranking needs: statistics, scores and their bounds are all made
+    from these narrow rows.
+    """
+    t = with_tokens(passages)
+    # Without the term an array is shorter by its occurrences; no function runs for each word.
+    tf = [F.size("tokens") - F.size(F.array_remove("tokens", x)) for x in terms]
+    kept = [c for c in passages.columns if c not in ("text", "embedding")]
+    return cut(t.select(*kept, "dl", F.array(*tf).cast("array<int>").alias("tf")))
 
 
-def query_stats(tokenised: DataFrame, terms: list[str]) -> DataFrame:
+def query_stats(counted: DataFrame, terms: list[str]) -> DataFrame:
     """One row of what BM25 needs of the whole corpus: its size, mean length, and each term's frequency."""
-    present = [F.sum(F.array_contains("tokens", t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    return tokenised.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *present)
+    present = [F.coalesce(F.sum((F.col("tf")[i] > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))]
+    return counted.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *present)
 
 
-def bm25_column(terms: list[str]) -> Column:
-    """The BM25 score of a tokenised row that carries ``query_stats``."""
-    parts = [_weight(count_of(t), F.col("dl"), F.col(f"df{i}"), F.col("n_docs"), F.col("avgdl")) for i, t in enumerate(terms)]
+def bm25_column(terms: list[str], asked: list[str]) -> Column:
+    """The BM25 score by ``asked`` terms of a row of ``counted_terms`` that carries ``query_stats``."""
     total = F.lit(0.0)
-    for part in parts:
-        total = total + part
+    for i, t in enumerate(terms):
+        if t in asked:
+            total = total + _weight(F.col("tf")[i], F.col("dl"), F.col(f"df{i}"), F.col("n_docs"), F.col("avgdl"))
     return total
 
 
-def bm25_scan(tokenised: DataFrame, terms: list[str]) -> DataFrame:
-    """``tokenised`` with ``literal``, without an index: two scans and no shuffle but of a one-row aggregate."""
+def bm25_scan(passages: DataFrame, terms: list[str]) -> DataFrame:
+    """``passages`` without their texts, with ``literal``: without an index, by one pass over the texts."""
     terms = list(dict.fromkeys(terms))
-    return tokenised.crossJoin(F.broadcast(query_stats(tokenised, terms))).withColumn("literal", bm25_column(terms))
+    counted = counted_terms(passages, terms)
+    return counted.crossJoin(F.broadcast(query_stats(counted, terms))).withColumn("literal", bm25_column(terms, terms)).select(
+        *[c for c in counted.columns if c not in ("dl", "tf")], "literal"
+    )
 
 
-def bm25_indexed(posted: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
-    """``row_id, literal`` from stored postings: the terms are a filter that reaches the scan."""
-    terms = list(dict.fromkeys(terms))
-    # Needed twice, and no more than the postings of the query's terms.
-    hits = cut(posted.where(F.col("term").isin(terms)))
-    # One row per query term.
+def bm25_indexed(posted: DataFrame, stats: DataFrame, terms: list[str], names: list[str] = ()) -> DataFrame:
+    """``row_id, literal, held`` from stored postings: the terms are a filter that reaches the scan.
+
+    ``literal`` is the score by ``terms``, ``held`` the share of ``names`` that the row has.
+    """
+    terms, names = list(dict.fromkeys(terms)), list(dict.fromkeys(names))
+    # Needed twice, and no more than the postings of the query's words.
+    hits = cut(posted.where(F.col("term").isin([*terms, *names])))
+    # One row per word of the query.
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats))
-    weight = _weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))
-    return weighted.groupBy("row_id").agg(F.sum(weight).alias("literal"))
+    weight = F.when(F.col("term").isin(terms), _weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))).otherwise(0.0)
+    held = F.sum(F.col("term").isin(names).cast("int")) / F.lit(float(max(1, len(names))))
+    return weighted.groupBy("row_id").agg(F.sum(weight).alias("literal"), held.alias("held"))
 
 
-def presence(names: list[str]) -> Column:
-    """The share of the different names that a tokenised row holds."""
+def presence(terms: list[str], names: list[str]) -> Column:
+    """The share of the different ``names``, all among ``terms``, that a row of ``counted_terms`` holds."""
     names = list(dict.fromkeys(names))
-    if not names:
-        return F.lit(0.0)
-    held = F.size(F.array_intersect("tokens", F.array(*[F.lit(n) for n in names])))
-    return held / F.lit(float(len(names)))
+    held = F.lit(0)
+    for n in names:
+        held = held + (F.col("tf")[terms.index(n)] > 0).cast("int")
+    return held / F.lit(float(max(1, len(names))))

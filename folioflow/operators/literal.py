@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import FOLDS, offset_form
+from folioflow.functions.text import FOLDS, offset_form, snippet
 
 
 def _places(needle: str):
@@ -56,3 +56,12 @@ def find_literal(passages: DataFrame, needle: str, doc_types: list[str] | None =
 def find_files(matches: DataFrame) -> DataFrame:
     """The files of matches, with how many each has."""
     return matches.groupBy("path").agg(F.count(F.lit(1)).alias("matches"))
+
+
+def with_snippets(matches: DataFrame, passages: DataFrame, length: int, context: int) -> DataFrame:
+    """Matches with ``shown``: the match of ``length`` characters in its passage, and ``context`` characters on either side.
+
+    Rows of matches only are joined with their texts; a row_id that is delivered again counts once.
+    """
+    texts = passages.join(matches.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(F.max("text").alias("text"))
+    return matches.join(texts, "row_id").withColumn("shown", snippet(F.col("text"), F.col("local"), length, context)).drop("text")

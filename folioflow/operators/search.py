@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import Retrieval
-from folioflow.functions.text import COMMON_WORDS, fold_query, match_form, match_text, query_terms, quoted_phrases
-from folioflow.operators.lexicon import bm25_scan, presence, with_tokens
+from folioflow.functions.text import COMMON_WORDS, match_form, match_query, match_text, query_terms, quoted_phrases
+from folioflow.operators.lexicon import bm25_column, bm25_indexed, counted_terms, presence, query_stats
 from folioflow.plans.runtime import cut
 
 
 @dataclass(frozen=True)
 class QueryPlan:
-    """What a query asks for, worked out on the driver from the query string alone."""
+    """What a query asks for, worked out on the driver from the query string and the frequencies of its words."""
 
     terms: list[str]
     names: list[str] = field(default_factory=list)
@@ -24,48 +23,54 @@ class QueryPlan:
     phrases: list[str] = field(default_factory=list)
     vector: list[float] | None = None
 
+    @property
+    def words(self) -> list[str]:
+        """Terms and names, each once."""
+        return list(dict.fromkeys([*self.terms, *self.names]))
+
 
 def intent_bonuses(query: str, r: Retrieval) -> dict[str, float]:
     """One bonus for each kind of material that the query's wording hints at, over the standing ones."""
     words = {t for t, _ in query_terms(query)}
-    padded = f" {re.sub(r'\s+', ' ', fold_query(query).lower()).strip()} "
+    padded = f" {match_query(query)} "
     out = dict(r.doc_type_bonus)
     for kind, cues in r.intent_cues.items():
-        if any(f" {cue}" in padded if " " in cue else cue in words for cue in cues):
+        if any(cue in (padded if " " in cue else words) for cue in map(str.lower, cues)):
             out[kind] = out.get(kind, 0.0) + r.intent_bonus
     return out
 
 
-def name_terms(query: str, tokenised: DataFrame) -> list[str]:
-    """Words of the query to be taken for names: in the corpus, not common, and capitalised or rare."""
-    pairs = [(t, raw, i) for i, (t, raw) in enumerate(query_terms(query)) if t not in COMMON_WORDS]
-    asked = sorted({t for t, _, _ in pairs})
-    if not asked:
-        return []
-    counts = tokenised.agg(F.count(F.lit(1)), *[F.sum(F.array_contains("tokens", t).cast("long")) for t in asked]).first()
-    n, df = counts[0], dict(zip(asked, (x or 0 for x in tuple(counts)[1:])))
+def name_terms(query: str, n: int, df: dict[str, int]) -> list[str]:
+    """Words of the query to be taken for names: in the corpus of ``n`` rows, not common, and capitalised or rare."""
     rare = max(3, int(n * 0.01))
-    return list(dict.fromkeys(t for t, raw, i in pairs if df[t] > 0 and ((raw[0].isupper() and i > 0) or df[t] <= rare)))
+    pairs = [(t, raw, i) for i, (t, raw) in enumerate(query_terms(query)) if t not in COMMON_WORDS]
+    return list(dict.fromkeys(t for t, raw, i in pairs if df.get(t, 0) > 0 and ((raw[0].isupper() and i > 0) or df[t] <= rare)))
 
 
-def plan_query(query: str, tokenised: DataFrame, r: Retrieval = Retrieval(), vector: list[float] | None = None) -> QueryPlan:
-    query = query.strip()
-    if not query:
+def asked_terms(query: str) -> list[str]:
+    """The different terms of a query; an error for a blank one."""
+    if not query.strip():
         raise ValueError("the query is empty")
-    terms = list(dict.fromkeys(t for t, _ in query_terms(query)))
+    return list(dict.fromkeys(t for t, _ in query_terms(query)))
+
+
+def plan_query(query: str, n: int, df: dict[str, int], r: Retrieval = Retrieval(), vector: list[float] | None = None) -> QueryPlan:
+    """The plan for a query, given how many passages there are and how many hold each of its terms."""
+    terms, query = asked_terms(query), query.strip()
     phrases = quoted_phrases(query)
     if not phrases and len(terms) <= 5 and len(query) >= 4:
-        phrases = [fold_query(query).lower()]
+        phrases = [match_query(query)]
     elif r.fold_quoted_phrases:
         phrases = [p.lower() for p in phrases]
-    return QueryPlan(terms, name_terms(query, tokenised), intent_bonuses(query, r), phrases, vector)
+    return QueryPlan(terms, name_terms(query, n, df), intent_bonuses(query, r), phrases, vector)
 
 
 def cosine(embedding: Column, vector: list[float]) -> Column:
-    """Dot product in double precision with a unit vector; null for a null or shorter embedding."""
+    """Dot product in double precision with a unit vector; null for a null embedding, an error for one of another length."""
     q = F.array(*[F.lit(float(x)) for x in vector])
     products = F.zip_with(embedding, q, lambda a, b: a.cast("double") * b)
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    wrong = F.concat(F.lit("the index has vectors of "), F.size(embedding).cast("string"), F.lit(f" numbers, the query one of {len(vector)}; build the index again"))
+    return F.when(F.size(embedding) != len(vector), F.raise_error(wrong).cast("double")).otherwise(F.aggregate(products, F.lit(0.0), lambda total, x: total + x))
 
 
 def normalised(value: Column, low: Column, high: Column) -> Column:
@@ -73,21 +78,12 @@ def normalised(value: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-9, 0.0).otherwise((value - low) / (high - low))
 
 
-def score_passages(passages: DataFrame, plan: QueryPlan, r: Retrieval = Retrieval()) -> DataFrame:
-    """Every passage with ``semantic, literal, score`` before phrases; ``embedding`` only if the plan has a vector.
+def blended(rows: DataFrame, plan: QueryPlan, r: Retrieval = Retrieval()) -> DataFrame:
+    """Narrow rows of all passages (``doc_type, semantic, literal, held`` and keys) with their ``score`` before phrases.
 
-    Statistics and the bounds for scaling cover all rows, whatever is filtered later. The narrow
-    scores are written once, as the bounds need them before the blend does.
+    The bounds for scaling cover all rows, whatever is filtered later.
     """
-    scored = bm25_scan(with_tokens(passages), plan.terms)
-    semantic = F.coalesce(cosine(F.col("embedding"), plan.vector), F.lit(0.0)) if plan.vector else F.lit(0.0)
-    narrow = cut(
-        scored.select(
-            "row_id", "path", "doc_type", "title", "section", semantic.alias("semantic"), "literal",
-            (presence(plan.names) * r.proper_noun_boost).alias("name_boost"),
-        )
-    )
-    bounds = narrow.agg(
+    bounds = rows.agg(
         F.min("semantic").alias("s0"), F.max("semantic").alias("s1"), F.min("literal").alias("l0"), F.max("literal").alias("l1")
     )
     ws, wl = r.weights() if plan.vector else (0.0, 1.0)
@@ -97,7 +93,8 @@ def score_passages(passages: DataFrame, plan: QueryPlan, r: Retrieval = Retrieva
     bonus = F.lit(0.0)
     for kind, extra in plan.bonuses.items():
         bonus = bonus + F.when(F.col("doc_type") == kind, extra).otherwise(0.0)
-    return narrow.crossJoin(F.broadcast(bounds)).withColumn("type_bonus", bonus).withColumn("score", blend + F.col("name_boost") + bonus).drop("s0", "s1", "l0", "l1")
+    scaled = rows.crossJoin(F.broadcast(bounds)).withColumns({"name_boost": F.col("held") * r.proper_noun_boost, "type_bonus": bonus})
+    return scaled.withColumn("score", blend + F.col("name_boost") + F.col("type_bonus")).drop("s0", "s1", "l0", "l1")
 
 
 def cap_per_file(hits: DataFrame, k: int, most: int) -> DataFrame:
@@ -106,28 +103,99 @@ def cap_per_file(hits: DataFrame, k: int, most: int) -> DataFrame:
     return hits.withColumn("tier", (turn > most).cast("int")).orderBy("tier", F.desc("score"), "row_id").limit(k)
 
 
-def search(passages: DataFrame, plan: QueryPlan, r: Retrieval = Retrieval(), k: int | None = None, doc_types: list[str] | None = None) -> DataFrame:
-    """The best ``k`` passages for a plan: filter after scaling, shortlist, phrase boost, cap, order.
-
-    ``passages``: row_id, path, doc_type, title, section, text and, for a plan with a vector, embedding
-    (unit length or null). Ties go to the smaller row_id. The shortlist bounds all that follows, so its
-    texts are the only ones joined back.
-    """
+def _ranked(rows: DataFrame, passages: DataFrame, plan: QueryPlan, r: Retrieval, k: int | None, doc_types: list[str] | None) -> DataFrame:
+    """Blend, filter, shortlist, phrase boost, cap and order; the shortlist alone meets its texts again."""
     k = k or r.k
     if k < 1:
         raise ValueError("k must be at least 1")
-    scored = score_passages(passages, plan, r)
+    scored = blended(rows, plan, r)
     if doc_types:
         scored = scored.where(F.col("doc_type").isin(doc_types))
     short = scored.orderBy(F.desc("score"), "row_id").limit(r.candidates)
-    if plan.phrases:
-        # No more rows than the shortlist.
-        texts = passages.select("row_id", match_form(match_text(F.col("title"), F.col("section"), F.col("text"))).alias("form"))
-        hit = F.lit(False)
+    names = list(dict.fromkeys(plan.names))
+    hit, held = F.lit(False), F.array().cast("array<string>")
+    if plan.phrases or names:
+        # No more rows than the shortlist on one side; their forms are made after the join.
+        texts = passages.select("row_id", "title", "section", "text")
+        short = texts.join(F.broadcast(short), "row_id")
+        short = short.withColumn("form", match_form(match_text(F.col("title"), F.col("section"), F.col("text")))).drop("title", "section", "text")
         for p in plan.phrases:
             hit = hit | F.col("form").contains(p)
-        short = texts.join(F.broadcast(short), "row_id").withColumn("phrase_hit", hit).drop("form")
-        short = short.withColumn("score", F.col("score") + F.col("phrase_hit").cast("int") * r.phrase_boost)
-    else:
-        short = short.withColumn("phrase_hit", F.lit(False))
+        if names:
+            held = F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(F.col("form"), n))
+    short = short.withColumns({"phrase_hit": hit, "names_matched": held}).drop("form")
+    short = short.withColumn("score", F.col("score") + F.col("phrase_hit").cast("int") * r.phrase_boost)
     return cap_per_file(short, k, r.max_per_file)
+
+
+def _rows(passages: DataFrame, scores: DataFrame, plan: QueryPlan, vectors: DataFrame | None) -> DataFrame:
+    """Scores with ``semantic``, of the vectors given beside or held by the passages; both sides of the join are narrow."""
+    if not plan.vector:
+        return scores.withColumn("semantic", F.lit(0.0))
+    source = vectors if vectors is not None else passages
+    near = source.select("row_id", cosine(F.col("embedding"), plan.vector).alias("semantic"))
+    return scores.join(near, "row_id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+
+
+def search(
+    passages: DataFrame,
+    plan: QueryPlan,
+    r: Retrieval = Retrieval(),
+    k: int | None = None,
+    doc_types: list[str] | None = None,
+    vectors: DataFrame | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """The best ``k`` passages for a plan, without an index: one pass over the texts, then narrow rows only.
+
+    ``passages``: row_id (unique), path, doc_type, title, section, text and, for a plan with a vector, embedding
+    (unit length or null) unless ``vectors`` (row_id, embedding) are given. ``counted``: their
+    ``counted_terms`` of the plan's words, where they are there already. Ties go to the smaller row_id.
+    Returns row_id, path, doc_type, semantic, literal, name_boost, type_bonus, score, phrase_hit,
+    names_matched, tier.
+    """
+    keys = passages.select("row_id", "path", "doc_type", "title", "section", "text")
+    words = plan.words
+    if counted is None:
+        counted = counted_terms(keys, words)
+    scored = counted.crossJoin(F.broadcast(query_stats(counted, words)))
+    scores = scored.select("row_id", "path", "doc_type", bm25_column(words, plan.terms).alias("literal"), presence(words, plan.names).alias("held"))
+    return _ranked(_rows(passages, scores, plan, vectors), passages, plan, r, k, doc_types)
+
+
+def ask(passages: DataFrame, query: str, r: Retrieval = Retrieval(), k: int | None = None, doc_types: list[str] | None = None, vector: list[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """``search`` for a question in words: names, intent and phrases are worked out from it and the counts of its terms."""
+    terms = asked_terms(query)
+    counted = counted_terms(passages.select("row_id", "path", "doc_type", "title", "section", "text"), terms)
+    n, _, *df = query_stats(counted, terms).first()
+    return search(passages, plan_query(query, n, dict(zip(terms, df)), r, vector), r, k, doc_types, vectors, counted)
+
+
+def search_indexed(
+    passages: DataFrame,
+    posted: DataFrame,
+    stats: DataFrame,
+    plan: QueryPlan,
+    r: Retrieval = Retrieval(),
+    k: int | None = None,
+    doc_types: list[str] | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """``search`` by stored postings and statistics: no text is read but those of the shortlist.
+
+    The query's words are a filter on the postings; their scores, of only the rows that hold one, are
+    joined to the keys and cosines of all passages.
+    """
+    hits = bm25_indexed(posted, stats, plan.terms, plan.names)
+    zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("literal", "held")}
+    scores = passages.select("row_id", "path", "doc_type").join(hits, "row_id", "left").withColumns(zero)
+    # Written once, as the bounds need them before the blend does.
+    return _ranked(cut(_rows(passages, scores, plan, vectors)), passages, plan, r, k, doc_types)
+
+
+def ask_indexed(passages: DataFrame, posted: DataFrame, stats: DataFrame, query: str, r: Retrieval = Retrieval(), k: int | None = None, doc_types: list[str] | None = None, vector: list[float] | None = None) -> DataFrame:
+    """``search_indexed`` for a question in words."""
+    counts = posted.where(F.col("term").isin(asked_terms(query))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # One row per word of the query.
+    plan = plan_query(query, stats.first()["n_docs"], {x.term: x.df for x in counts.collect()}, r, vector)
+    return search_indexed(passages, posted, stats, plan, r, k, doc_types)

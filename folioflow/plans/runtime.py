@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def session(app: str = "folioflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,6 +19,8 @@ def session(app: str = "folioflow", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go once nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -62,10 +65,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` over at least as many partitions as there are task slots.
+    """``df``, of a scan without shuffles, over at least as many partitions as there are task slots.
 
     Round-robin and only where the scan gives fewer partitions than slots, that is for inputs of a
     few files; a large input already has one partition for each split and is left as it is.
     """
     slots = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "turn") -> DataFrame:
+    """``df`` with the place, from 1, of each row among those of equal ``keys``, in order.
+
+    A key that most rows share is spread like any other: rows are placed by ranges of key and order, numbered
+    within their partition, and moved on by how many of the key the partitions before hold.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    held = placed.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order))
+    both = placed.withColumn("within", within).join(held.withColumn("before", before), [*keys, "part"])
+    return both.withColumn(name, F.col("within") + F.col("before")).drop("part", "held", "within", "before")

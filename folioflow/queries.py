@@ -22,7 +22,9 @@ NAMES = ["lantern", "zemiholt", "harbour"]
 PHRASE = "the talk in"
 NEEDLE = "The Talk"
 PLAN = S.QueryPlan(TERMS, NAMES, {"other": -0.01, "character": 0.07}, [PHRASE])
-SETTINGS = Retrieval()
+#: A question in words, and settings that hear where and who it asks for.
+QUESTION = 'Where did the "talk in" the Harbour stop the storm?'
+ASKED = Retrieval(intent_cues={"location": ("where", "harbour"), "character": ("who is",)})
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,10 +36,9 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def with_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus with the embeddings there are of it; the others have none."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    return corpus(spark, sf).join(vectors, "row_id", "left")
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings there are of the corpus, by row."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
 
 
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -108,12 +109,12 @@ def rare_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = lexicon.bm25_scan(tokenised(spark, sf), TERMS)
+    scored = lexicon.bm25_scan(corpus(spark, sf), TERMS)
     return scored.where("literal > 0").select("row_id", F.round("literal", 6).alias("literal"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = lexicon.bm25_scan(tokenised(spark, sf), TERMS)
+    scored = lexicon.bm25_scan(corpus(spark, sf), TERMS)
     return scored.orderBy(F.desc(F.round("literal", 6)), "row_id").limit(20).select("row_id", F.round("literal", 6).alias("literal"))
 
 
@@ -125,7 +126,8 @@ def bm25_from_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def presence_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenised(spark, sf).select("row_id", F.round(lexicon.presence(NAMES), 6).alias("held")).where("held > 0")
+    counted = lexicon.counted_terms(corpus(spark, sf), NAMES)
+    return counted.select("row_id", F.round(lexicon.presence(NAMES, NAMES), 6).alias("held")).where("held > 0")
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,18 +144,25 @@ def minmax_normalised(spark: SparkSession, sf: str) -> DataFrame:
     return scored.crossJoin(F.broadcast(bounds)).select("vec_id", F.round(value, 6).alias("scaled"))
 
 
-def _hits(df: DataFrame) -> DataFrame:
-    return df.select("row_id", "path", "tier", F.round("score", 6).alias("score"), "phrase_hit")
+def _hits(df: DataFrame, *more) -> DataFrame:
+    return df.select("row_id", "path", "tier", F.round("score", 6).alias("score"), "phrase_hit", *more)
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     plan = S.QueryPlan(PLAN.terms, PLAN.names, PLAN.bonuses, PLAN.phrases, query_vector(spark, sf))
-    return _hits(S.search(with_vectors(spark, sf), plan))
+    return _hits(S.search(corpus(spark, sf), plan, vectors=embeddings(spark, sf)))
 
 
 def hybrid_type_filtered(spark: SparkSession, sf: str) -> DataFrame:
     plan = S.QueryPlan(PLAN.terms, PLAN.names, PLAN.bonuses, PLAN.phrases, query_vector(spark, sf))
-    return _hits(S.search(with_vectors(spark, sf), plan, doc_types=["history", "culture"]))
+    return _hits(S.search(corpus(spark, sf), plan, doc_types=["history", "culture"], vectors=embeddings(spark, sf)))
+
+
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking as ``hybrid_topk`` by way of an inverted index."""
+    t = tokenised(spark, sf).select("row_id", "tokens", "dl")
+    plan = S.QueryPlan(PLAN.terms, PLAN.names, PLAN.bonuses, PLAN.phrases, query_vector(spark, sf))
+    return _hits(S.search_indexed(corpus(spark, sf), lexicon.postings(t), lexicon.corpus_stats(t), plan, vectors=embeddings(spark, sf)))
 
 
 def literal_only_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,10 +183,8 @@ def file_cap_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def planned_search(spark: SparkSession, sf: str) -> DataFrame:
     """A question from words to hits, with names, intent and phrases worked out from it."""
-    c = corpus(spark, sf)
-    r = Retrieval(intent_cues={"location": ("where", "harbour"), "character": ("who is",)})
-    plan = S.plan_query('Where did the "talk in" the Harbour stop the storm?', lexicon.with_tokens(c), r)
-    return _hits(S.search(c, plan, r))
+    hits = S.ask(corpus(spark, sf), QUESTION, ASKED)
+    return _hits(hits, F.array_join("names_matched", " ").alias("names"))
 
 
 def find_literal(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +214,23 @@ def change_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moved_files(spark: SparkSession, sf: str) -> DataFrame:
-    return change_log(spark, sf).where("action = 'moved'").select("path", "old_path")
+    """Files that moved between any snapshot of the manifest and the next."""
+    m = table(spark, sf, "manifest").withColumn("path", normal_path(F.col("path"))).withColumn("hash", F.lower(F.trim("hash")))
+    # One row for each snapshot.
+    last = m.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no")).orderBy("snapshot_no").collect()
+    steps = spark.createDataFrame([(a[0], a[1], b[0] if b else None) for a, b in zip(last, [*last[1:], None])], "snapshot_no int, delivery_no int, next int")
+    rows = m.join(F.broadcast(steps), ["snapshot_no", "delivery_no"])
+    kept = ("path", "hash", "mtime", "size", "doc_type", "title")
+    after = maintenance.one_per_path(rows.select("snapshot_no", *kept), ("snapshot_no",))
+    before = maintenance.one_per_path(rows.where("next is not null").select(F.col("next").alias("snapshot_no"), *kept), ("snapshot_no",))
+    return maintenance.change_log(before, after, ("snapshot_no",)).where("action = 'moved'").select("snapshot_no", "path", "old_path")
+
+
+def moved_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The moves found where all files in folders of one name stand in folders of another, by content alone."""
+    now = _state(spark, sf, 0)
+    renamed = maintenance.one_per_path(now.withColumn("path", F.replace("path", F.lit("/drafts/"), F.lit("/chapters/"))))
+    return maintenance.change_log(now, renamed).where("action = 'moved'").select("path", "old_path")
 
 
 def stale_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,27 +266,62 @@ def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_spans_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages, and those that aren't the slice of their document that they say, or too long: 0."""
-    c = Chunking()
-    cut = chunking.chunk_documents(_docs(spark, sf), c)
-    wrong = (F.length("text") != F.col("end_pos") - F.col("start_pos")) | (F.length("text") > c.max_chars + c.overlap_chars)
-    return cut.agg(F.sum(wrong.cast("long")).alias("wrong"), F.min(F.length("text") > 0).alias("filled"))
+    """Of each document how many passages it has, and how many of them are not the slice of it that they say."""
+    docs = _docs(spark, sf).where("text is not null").select("path", "doc_id", "text").distinct()
+    # A document is told by its text too, as one place may have been loaded with several.
+    named = docs.withColumn("doc_id", F.concat_ws("#", F.coalesce("doc_id", F.lit("")), F.sha2("text", 256)))
+    cut = chunking.chunk_documents(named.withColumns({"doc_type": T.doc_type_of(F.col("path")), "title": F.lit(""), "section_prefix": F.lit("")}), Chunking())
+    held = cut.select("path", "doc_id", "start_pos", "end_pos", F.col("text").alias("passage")).join(named.withColumn("path", F.coalesce("path", F.lit(""))), ["path", "doc_id"])
+    slice_ = F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
+    per = held.groupBy("path", F.sha2("text", 256).alias("doc")).agg(F.count(F.lit(1)).alias("passages"), F.sum((slice_ != F.col("passage")).cast("bigint")).alias("wrong"))
+    return per.groupBy("path", "doc").agg(F.sum(F.when(F.col("passages") > 0, F.col("wrong"))).alias("wrong"))
 
 
 def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The length of each document's hashed embedding: one, or zero for a text without words."""
-    e = table(spark, sf, "documents").select("doc_id", embedding.embed(F.coalesce("text", F.lit(""))).alias("e"))
+    e = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", embedding.embed(F.col("text")).alias("e"))
     norm = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     return e.select("doc_id", F.round(F.sqrt(norm), 4).alias("norm"))
 
 
+def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The length of each vector that is there after it was scaled: one, or zero for a zero vector."""
+    v = table(spark, sf, "vectors").where("embedding is not null").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    norm = F.aggregate(embedding.unit(F.col("embedding")), F.lit(0.0), lambda s, x: s + x * x)
+    return v.select("row_id", F.round(F.sqrt(norm), 6).alias("norm")).distinct()
+
+
+def found_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each place of the needle with the words round it."""
+    rows = passages(spark, sf)
+    found = literal.find_literal(rows, NEEDLE)
+    return literal.with_snippets(found, rows, len(NEEDLE), 60).select("row_id", "local", "shown")
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages as the messages of conversations, one for each document, by turns of a user and an assistant."""
+    p = table(spark, sf, "passages").where("text is not null").groupBy("row_id", "path", "doc_id").agg(F.max("text").alias("text"))
+    return p.select(
+        F.concat_ws("#", "path", "doc_id").alias("conv_id"), F.col("row_id").alias("turn"), F.when(F.col("row_id") % 2 == 0, "user").otherwise("assistant").alias("role"), "text"
+    )
+
+
+def chat_history_window(spark: SparkSession, sf: str) -> DataFrame:
+    return answering.history_window(messages(spark, sf)).select("conv_id", "turn", "role", F.sha2("text", 256).alias("said"))
+
+
+def followup_search_text(spark: SparkSession, sf: str) -> DataFrame:
+    return answering.followup_text(messages(spark, sf)).select("conv_id", "turn", F.sha2("search_text", 256).alias("asked"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p4_found, clean_text_len, collapse_preview, content_hash, doc_type_from_path, pretty_titles, citations, embed_headers,
         token_counts, corpus_stats, doc_frequency, postings_top_terms, rare_terms, bm25_scores, bm25_topk, bm25_from_postings,
-        presence_fraction, cosine_topk, minmax_normalised, hybrid_topk, hybrid_type_filtered, literal_only_topk, phrase_boost_topk,
-        intent_nudge_topk, file_cap_topk, planned_search, find_literal, find_files, find_typed, change_log, moved_files, stale_counts,
-        status_by_type, chunk_counts, orphan_passages, prompt_budget, chunk_passages, chunk_spans_valid, embedded_texts,
+        presence_fraction, cosine_topk, minmax_normalised, hybrid_topk, hybrid_type_filtered, search_indexed, literal_only_topk, phrase_boost_topk,
+        intent_nudge_topk, file_cap_topk, planned_search, find_literal, find_files, find_typed, found_snippets, change_log, moved_files, moved_folder, stale_counts,
+        status_by_type, chunk_counts, orphan_passages, prompt_budget, chunk_passages, chunk_spans_valid, embedded_texts, unit_vectors,
+        chat_history_window, followup_search_text,
     )
 }

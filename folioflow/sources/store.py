@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 #: Raised whenever tables of an older layout can't be read as they are.
-FORMAT = 1
+FORMAT = 2
 
 
 def _file_system(spark: SparkSession, root: str):
@@ -41,13 +41,30 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return max((f.getPath().getName() for f in fs.listStatus(pointers)), default=None) if fs.exists(pointers) else None
 
 
-def read_index(spark: SparkSession, root: str, name: str, **expected: str) -> DataFrame:
-    """A table of the current version; an error if there is none or its facts aren't the expected ones."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an index's own, if it is there."""
+    fs, path_of = _file_system(spark, path)
+    fs.delete(path_of(path), True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, path_of = _file_system(spark, path)
+    return fs.exists(path_of(path))
+
+
+def index_facts(spark: SparkSession, root: str) -> dict[str, str]:
+    """The facts saved with the current version; an error if there is none."""
     version = current_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no index in {root}")
-    meta = {r.key: r.value for r in spark.read.parquet(f"{root}/{version}/meta").collect()}
+    # A handful of rows.
+    return {r.key: r.value for r in spark.read.parquet(f"{root}/{version}/meta").collect()}
+
+
+def read_index(spark: SparkSession, root: str, name: str, **expected: str) -> DataFrame:
+    """A table of the current version; an error if there is none or its facts aren't the expected ones."""
+    meta = index_facts(spark, root)
     wrong = {k: meta.get(k) for k, v in {"format": FORMAT, **expected}.items() if meta.get(k) != str(v)}
     if wrong:
         raise ValueError(f"the index must be built again: {wrong}")
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    return spark.read.parquet(f"{root}/{current_version(spark, root)}/{name}")

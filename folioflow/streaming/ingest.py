@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.config import Chunking
+from folioflow.functions.text import doc_type_of
 from folioflow.operators.chunking import chunk_documents
 from folioflow.plans.runtime import importable
 
@@ -16,7 +17,7 @@ DOCS = "load_id bigint, path string, doc_id string, title string, section_prefix
 def stream_passages(docs: DataFrame, c: Chunking = Chunking(), lateness: str = "1 day") -> DataFrame:
     """Passages of a stream of loaded documents; a load that is delivered again within ``lateness`` counts once."""
     once = docs.withWatermark("loaded_at", lateness).dropDuplicatesWithinWatermark(["load_id"])
-    return chunk_documents(once.withColumn("doc_type", F.lit("other")), c)
+    return chunk_documents(once.withColumn("doc_type", doc_type_of(F.col("path"))), c)
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, c: Chunking = Chunking()) -> StreamingQuery:

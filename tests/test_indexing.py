@@ -1,10 +1,16 @@
 from dataclasses import replace
 
+import pytest
+from pyspark.sql import functions as F
+
 from folioflow import cli
-from folioflow.config import Config, Library
-from folioflow.plans.indexing import update_index
+from folioflow.config import Config, Indexing, Library
+from folioflow.functions.text import embed_text
+from folioflow.operators.embedding import HashedEmbedder, embed_query
+from folioflow.plans import indexing
+from folioflow.plans.indexing import search_library, update_index
 from folioflow.sources.library import load_documents, scan_library
-from folioflow.sources.store import read_index
+from folioflow.sources.store import read_index, save_index
 
 
 def write(root, **files):
@@ -39,6 +45,7 @@ def test_index_follows_the_library(spark, tmp_path):
     assert set(after) == {"The lamp stays lit.", "The harbour was cold."}
     moved = after["The harbour was cold."]
     assert (moved.path, moved.doc_type, moved.embedding) == ("locations/one.md", "location", before["The harbour was cold."].embedding)
+    assert fresh_vectors(spark, index)
     log, _ = update_index(spark, str(lib), index)
     assert {a for _, a in actions(log)} == {"unchanged"}
     assert read_index(spark, index, "postings").where("term = 'harbour'").count() == 1
@@ -46,7 +53,79 @@ def test_index_follows_the_library(spark, tmp_path):
     at = ["--config", str(tmp_path / "none.toml"), "--index", index]
     assert cli.main([*at, "find", "HARBOUR"])[0]["path"] == "locations/one.md"
     assert cli.main([*at, "ask", "where is the harbour", "-k", "1"])[0]["where"] == "locations/one.md (One)"
+    assert cli.main([*at, "find", "was", "-C", "9"])[0]["shown"] == "harbour >>was<< cold."
     assert {r["doc_type"] for r in cli.main([*at, "status"])} == {"location", "plot"}
+    write(lib, **{"plot__new.md": "More.", "plot__unread.png": "p", "README.md": "x"})
+    (lib / "plot/end.md").unlink()
+    stale = {(r["path"], r["state"]) for r in cli.main([*at, "status", str(lib)]) if "state" in r}
+    assert stale == {("plot/new.md", "added"), ("plot/end.md", "missing"), ("drafts/broken.docx", "added")}
+
+
+def fresh_vectors(spark, index):
+    """Whether every stored vector is that of its passage as it is named now."""
+    rows = read_index(spark, index, "passages").withColumn("e", embed_text(F.col("title"), F.col("section"), F.col("text"))).collect()
+    return bool(rows) and all(list(r.embedding) == embed_query(r.e) for r in rows)
+
+
+def test_a_renamed_file_is_embedded_under_its_new_title(spark, tmp_path):
+    lib, index = tmp_path / "lib", str(tmp_path / "index")
+    write(lib, **{"plot__harbour_lights.md": "The lamp goes out.", "plot__other.md": "Rain."})
+    update_index(spark, str(lib), index)
+    (lib / "plot/harbour_lights.md").rename(lib / "plot/storm_court.md")
+    log, _ = update_index(spark, str(lib), index)
+    assert actions(log) == {("plot/storm_court.md", "moved"), ("plot/other.md", "unchanged")}
+    assert {r.title for r in read_index(spark, index, "passages").collect()} == {"Storm Court", "Other"} and fresh_vectors(spark, index)
+
+
+def test_another_model_builds_anew_and_is_told_apart(spark, tmp_path):
+    lib, index = tmp_path / "lib", str(tmp_path / "index")
+    write(lib, **{"plot__end.md": "The lamp goes out."})
+    update_index(spark, str(lib), index)
+    with pytest.raises(ValueError, match="built again"):
+        search_library(spark, index, "lamp", model=HashedEmbedder(dims=32))
+    log, _ = update_index(spark, str(lib), index, model=HashedEmbedder(dims=32))
+    assert {a for _, a in actions(log)} == {"added"} and len(read_index(spark, index, "passages").first().embedding) == 32
+    assert search_library(spark, index, "lamp", model=HashedEmbedder(dims=32)).first().literal > 0
+    assert search_library(spark, index, "lamp", model=None).first().literal > 0
+
+
+def test_postings_of_another_tokeniser_are_made_again(spark, tmp_path):
+    lib, index = tmp_path / "lib", str(tmp_path / "index")
+    write(lib, **{"plot__end.md": "The lamp goes out.", "plot__rain.md": "Rain."})
+    update_index(spark, str(lib), index)
+    tables = {x: read_index(spark, index, x) for x in ("passages", "manifest", "corpus_stats")}
+    wrong = read_index(spark, index, "postings").withColumn("term", F.lit("nothing"))
+    save_index(spark, index, {**tables, "postings": wrong}, chunks=Config().chunking.signature, model="hashed-2", dims="64", tokenizer="1")
+    assert search_library(spark, index, "lamp").first().literal > 0
+
+
+def test_a_failed_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    lib, index = tmp_path / "lib", str(tmp_path / "index")
+    write(lib, **{f"plot__{i}.md": f"Text number {i} of the plot." for i in range(12)})
+    config = Config(indexing=Indexing(steps=2))
+
+    def fail(*_, **__):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(indexing, "save_index", fail)
+        with pytest.raises(OSError):
+            update_index(spark, str(lib), index, config)
+    write(lib, **{"plot__3.md": "Another text for the third.", "plot__new.md": "A new one."})
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting(HashedEmbedder):
+        def load(self):
+            def vectors(texts):
+                asked.add(len(texts))
+                return self.vectors(texts)
+
+            return vectors
+
+    update_index(spark, str(lib), index, config, model=Counting())
+    assert asked.value == 2
+    assert read_index(spark, index, "passages").count() == 13 and fresh_vectors(spark, index)
+    assert not list(tmp_path.glob("index/pending*"))
 
 
 SCRIVX = """<ScrivenerProject><Binder>

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import Prompt, Retrieval, load_config
 from folioflow.operators import answering, maintenance
-from folioflow.operators.embedding import hashed
+from folioflow.operators.embedding import HashedEmbedder, embed, embed_query
 from folioflow.sources.library import load_documents, read_odt, read_rtf, scan_library
 from folioflow.sources.store import current_version, read_index, save_index
 from folioflow.streaming.ingest import DOCS, ingest
@@ -63,7 +63,7 @@ def test_scan_and_load(spark, tmp_path):
         ("plot/out line.docx", "plot", "Out Line", "# Act\n\nIt ends."),
         ("drafts/latin.txt", "manuscript", "Latin", "café “x”"),
     }
-    assert {r.path for r in skipped.collect()} == {"plot/broken.docx", "plot/old.doc"}
+    assert {r.path for r in skipped.collect()} == {"plot/broken.docx", "plot/old.doc", "drafts/empty.txt"}
 
 
 def test_store_versions(spark, tmp_path):
@@ -92,10 +92,10 @@ def test_prompt_budget_skips_and_goes_on(spark):
 def test_conversation(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "x" * 900) for i in range(1, 13)]
     kept = answering.history_window(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
-    assert sorted(r.turn for r in kept) == list(range(5, 13)) and max(len(r.text) for r in kept if r.role == "assistant") == 700
-    talk = [(1, 1, "user", "Who is Ada Lane?"), (1, 3, "user", "Where does she live?"), (1, 5, "user", "Describe the harbour")]
+    assert sorted(r.turn for r in kept) == list(range(5, 13)) and max(len(r.text) for r in kept if r.role == "assistant") == 704
+    talk = [(1, 1, "user", "Who is Ada Lane?"), (1, 3, "user", "Where does she live?"), (1, 5, "user", "Describe the harbour"), (1, 7, "user", "Did the old keeper of the northern lamp ever speak of it?")]
     out = answering.followup_text(spark.createDataFrame(talk, "conv_id int, turn int, role string, text string"))
-    assert [r.search_text for r in out.orderBy("turn").collect()] == ["Who is Ada Lane?", "Who is Ada Lane? Where does she live?", "Describe the harbour"]
+    assert [r.search_text for r in out.orderBy("turn").collect()] == ["Who is Ada Lane?", "Who is Ada Lane? Where does she live?", "Describe the harbour", "Did the old keeper of the northern lamp ever speak of it?"]
 
 
 def test_settings(tmp_path):
@@ -109,17 +109,42 @@ def test_settings(tmp_path):
         Retrieval(semantic_weight=-1).weights()
 
 
-def test_embeddings_are_stable_and_unit():
-    assert hashed("a b") == hashed("a b") and abs(sum(x * x for x in hashed("a b c")) - 1) < 1e-6 and not any(hashed(""))
+def test_settings_out_of_range(tmp_path):
+    for line in ("[retrieval]\nk = 0", "[chunking]\noverlap_chars = 2000", "[library]\nmax_file_mb = 0", "[library.folders]\nx = 'poem'", "[prompt]\nnum_ctx = 5"):
+        (tmp_path / "c.toml").write_text(line)
+        with pytest.raises(ValueError, match="settings"):
+            load_config(tmp_path / "c.toml")
+
+
+def test_embeddings_are_stable_and_unit(spark):
+    class Wrong(HashedEmbedder):
+        def load(self):
+            return lambda texts: [[1.0] * 3 for _ in texts]
+
+    texts = ["a b", "a b c", "", None, "a b", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = {r.i: r.e for r in df.repartition(3).select("i", embed(F.col("t")).alias("e")).collect()}
+    assert made[0] == made[4] == embed_query("a b") and not any(made[2]) and not any(made[3])
+    assert all(abs(sum(x * x for x in made[i]) - 1) < 1e-6 for i in (0, 1, 5))
+    with pytest.raises(Exception, match="not 64"):
+        df.select(embed(F.col("t"), Wrong())).collect()
+
+
+def test_many_files_of_one_content_are_paired_in_order(spark):
+    old = spark.range(300).selectExpr("format_string('a/%05d', id) AS path", "'empty' AS hash", "'plot' AS doc_type", "'T' AS title")
+    new = spark.range(200).selectExpr("format_string('b/%05d', id) AS path", "'empty' AS hash", "'plot' AS doc_type", "'T' AS title")
+    log = maintenance.change_log(old, new).collect()
+    assert {(r.path, r.old_path) for r in log if r.action == "moved"} == {(f"b/{i:05d}", f"a/{i:05d}") for i in range(200)}
+    assert {r.path for r in log if r.action == "removed"} == {f"a/{i:05d}" for i in range(200, 300)}
 
 
 def test_stream(spark, tmp_path):
     text = "# A\n\nThe harbour was cold.\n\n* * *\n\nThe lamp was out."
-    rows = [(1, "p", "", "A", "", text, None), (1, "p", "", "A", "", text, None), (2, "q", "", "B", "", None, None)]
+    rows = [(1, "p", "", "A", "", text, None), (1, "p", "", "A", "", text, None), (2, "q", "", "B", "", None, None), (3, "cast/all.md", "", "All", "", "Ada Lane\nAge: 1\n\nTom Reed\nAge: 2", None)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "in"))
     query = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_rtf():
@@ -129,12 +154,17 @@ def test_rtf():
     assert read_rtf(b"{\\rtf1 one\\\ntwo\\\r\nthree \\uc2\\u55357??\\u56842??}") == "one\ntwo\nthree \U0001f60a"
 
 
+def test_rtf_code_pages():
+    assert read_rtf(b"{\\rtf1\\ansicpg932 \\'93\\'fa\\'96\\'7b}") == "\u65e5\u672c"
+    assert read_rtf(b"{\\rtf1\\ansicpg99999 caf\\'e9}") == "caf\u00e9"
+
+
 def test_odt():
     t = "xmlns:t='urn:t'"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("content.xml", f"<d {t}><t:h t:outline-level='2'>Act</t:h><t:p>It<t:s/>ends<t:line-break/>here</t:p></d>")
-    assert read_odt(out.getvalue()) == "## Act\n\nIt ends\nhere"
+        z.writestr("content.xml", f"<d {t}><t:h t:outline-level='2'>Act</t:h><t:p>It<t:s/>ends<t:line-break/>here<t:s t:c='4'/>now</t:p></d>")
+    assert read_odt(out.getvalue()) == "## Act\n\nIt ends\nhere    now"
 
 
 def test_prompt_budget_of_long_groups(spark):

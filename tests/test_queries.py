@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(rows):
     def one(x):
-        return round(float(x), 5) if isinstance(x, float) or type(x).__name__ == "Decimal" else x
+        return float(f"{x:.5g}") if isinstance(x, float) or type(x).__name__ == "Decimal" else x
 
     return sorted(str([one(x) for x in r]) for r in rows)
 

@@ -6,8 +6,8 @@ import pytest
 from folioflow.config import Retrieval
 from folioflow.functions.text import query_terms
 from folioflow.operators.lexicon import bm25_indexed, corpus_stats, postings, term_stats, with_tokens
-from folioflow.operators.literal import find_files, find_literal
-from folioflow.operators.search import QueryPlan, intent_bonuses, plan_query, search
+from folioflow.operators.literal import find_files, find_literal, with_snippets
+from folioflow.operators.search import QueryPlan, ask, intent_bonuses, plan_query, search, search_indexed
 
 SCHEMA = "row_id bigint, path string, doc_type string, title string, section string, text string, embedding array<float>, doc_id string, start_pos int"
 
@@ -65,6 +65,9 @@ def test_random_corpora_rank_as_the_rules_say(spark):
         plan = QueryPlan(["harbour", "storm"], ["kestrel"], {"plot": 0.07}, ["cold door"], [0.6, 0.8] if case else None)
         r = Retrieval(candidates=30, max_per_file=2)
         got = search(frame(spark, rows).repartition(case + 1), plan, r, 12, ["plot"] if case == 2 else None).collect()
+        t = with_tokens(frame(spark, rows))
+        indexed = search_indexed(frame(spark, rows), postings(t), corpus_stats(t), plan, r, 12, ["plot"] if case == 2 else None).collect()
+        assert [(h.row_id, round(h.score, 9)) for h in indexed] == [(h.row_id, round(h.score, 9)) for h in got]
         rows = [(*x[:6], [float(__import__("numpy").float32(v)) for v in x[6]] if x[6] else None, *x[7:]) for x in rows]
         assert [i for i, _ in sequential(rows, plan, r, 12, ["plot"] if case == 2 else None)] == [h.row_id for h in got]
 
@@ -79,15 +82,38 @@ def test_indexed_scores_and_stats(spark):
 
 
 def test_plan_of_a_question(spark):
-    rows = [row(i, "the harbour was cold and the door stood open by the stair") for i in range(400)] + [row(900, "Kestrel spoke")]
-    t = with_tokens(frame(spark, rows))
-    plan = plan_query("What did Kestrel say at the Harbour?", t)
+    rows = [row(i, "the harbour was cold and the door stood open by the stair") for i in range(400)] + [row(900, "Kestrel spoke of Kestrels")]
+    plan = plan_query("What did Kestrel say at the Harbour?", 401, {"kestrel": 1, "harbour": 400, "say": 0})
     assert plan.names == ["kestrel", "harbour"] and plan.phrases == []
-    assert plan_query("cold door", t).phrases == ["cold door"]
-    cues = Retrieval(intent_cues={"character": ("who is", "eyes"), "location": ("where",)})
+    assert plan_query("cold door", 401, {}).phrases == ["cold door"]
+    assert plan_query('"of \'x" "a" "she said"', 401, {}).phrases == ["of 'x", "she said"]
+    cues = Retrieval(intent_cues={"character": ("Who is", "eyes"), "location": ("where",)})
     assert intent_bonuses("Who is she, with green eyes?", cues) == {"other": -0.01, "character": 0.07}
     with pytest.raises(ValueError):
-        plan_query("  ", t)
+        plan_query("  ", 1, {})
+    best = ask(frame(spark, rows), "What did Kestrel say at the Harbour?").first()
+    assert (best.row_id, best.names_matched) == (900, ["kestrel"])
+
+
+def test_composed_forms_match_on_both_sides(spark):
+    rows = [row(1, "ﬁnal ﬂame ①②"), row(2, "a cold door"), row(3, "Cafe\u0301 Ｗｉｄｅ"), row(4, "ordinary")]
+    df = frame(spark, rows)
+    assert ask(df, "final flame 12").first().row_id == 1
+    assert ask(df, "café wide").first().phrase_hit
+    # Offsets have to hold, so a literal search folds only what keeps its length.
+    assert find_literal(df, "final").count() == 0 and find_literal(df, "ﬁnal").first().local == 0
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    df = frame(spark, [row(1, "a", vector=[1.0, 0.0, 0.0])])
+    with pytest.raises(Exception, match="build the index again"):
+        search(df, QueryPlan(["a"], vector=[1.0, 0.0])).collect()
+
+
+def test_snippets_end_between_words(spark):
+    df = frame(spark, [row(1, "one two three four five six seven"), row(2, "fourfour"), row(3, "x" * 30 + "four" + "y" * 30)])
+    shown = {(r.row_id, r.local): r.shown for r in with_snippets(find_literal(df, "four"), df, 4, 6).collect()}
+    assert shown == {(1, 14): ">>four<< five", (2, 0): ">>four<<four", (2, 4): "four>>four<<", (3, 30): "xxxxxx>>four<<yyyyyy"}
 
 
 def test_find_literal(spark):
