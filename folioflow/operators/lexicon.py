@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import match_text, tokens
-from folioflow.plans.runtime import cut
+from folioflow.plans.runtime import cut, spread
 
 K1, B = 1.5, 0.75
 
@@ -55,7 +55,7 @@ def counted_terms(passages: DataFrame, terms: list[str]) -> DataFrame:
     The only pass over the texts that ranking needs: statistics, scores and their bounds are all made
     from these narrow rows.
     """
-    t = with_tokens(passages)
+    t = with_tokens(spread(passages.drop("embedding")))
     # Without the term an array is shorter by its occurrences; no function runs for each word.
     tf = [F.size("tokens") - F.size(F.array_remove("tokens", x)) for x in terms]
     kept = [c for c in passages.columns if c not in ("text", "embedding")]
@@ -68,6 +68,11 @@ def query_stats(counted: DataFrame, terms: list[str]) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *present)
 
 
+def stats_of(counted: DataFrame, terms: list[str]) -> dict[str, Column]:
+    """``query_stats`` as constants: one row, read to the driver."""
+    return {k: F.lit(v) for k, v in query_stats(counted, terms).first().asDict().items()}
+
+
 def bm25_column(terms: list[str], asked: list[str]) -> Column:
     """The BM25 score by ``asked`` terms of a row of ``counted_terms`` that carries ``query_stats``."""
     total = F.lit(0.0)
@@ -81,9 +86,8 @@ def bm25_scan(passages: DataFrame, terms: list[str]) -> DataFrame:
     """``passages`` without their texts, with ``literal``: without an index, by one pass over the texts."""
     terms = list(dict.fromkeys(terms))
     counted = counted_terms(passages, terms)
-    return counted.crossJoin(F.broadcast(query_stats(counted, terms))).withColumn("literal", bm25_column(terms, terms)).select(
-        *[c for c in counted.columns if c not in ("dl", "tf")], "literal"
-    )
+    scored = counted.withColumns(stats_of(counted, terms)).withColumn("literal", bm25_column(terms, terms))
+    return scored.select(*[c for c in counted.columns if c not in ("dl", "tf")], "literal")
 
 
 def bm25_indexed(posted: DataFrame, stats: DataFrame, terms: list[str], names: list[str] = ()) -> DataFrame:

@@ -34,13 +34,14 @@ def change_log(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> Data
     same = F.coalesce(F.col("oh") == F.col("nh"), F.lit(False))
     alike = F.col("ot").eqNullSafe(F.col("nt")) & F.col("otitle").eqNullSafe(F.col("ntitle"))
     action = F.when(F.col("isnow").isNull(), "removed").when(F.col("was").isNull(), "added").when(~same, "updated").when(alike, "unchanged").otherwise("retyped")
+    # Read three times, with a row for each path.
     acted = cut(both.select(*keys, F.coalesce("nh", "oh").alias("hash"), action.alias("action")))
     single = acted.where("action in ('removed', 'added') and hash is not null")
     side = {x: F.max((F.col("action") == x).cast("int")).alias(x) for x in ("removed", "added")}
     shared = single.groupBy(*by, "hash").agg(*side.values()).where("removed = 1 and added = 1").select(*by, "hash")
     turns = numbered(single.join(shared, [*by, "hash"], "left_semi"), [*by, "hash", "action"], ["path"])
     donors = turns.where("action = 'removed'").select(*by, "hash", "turn", F.col("path").alias("from"))
-    moves = cut(turns.where("action = 'added'").join(donors, [*by, "hash", "turn"]).select(*by, "path", "from"))
+    moves = turns.where("action = 'added'").join(donors, [*by, "hash", "turn"]).select(*by, "path", "from")
     # A path that was passed on is no removal of its own.
     told = acted.join(moves.select(*by, F.col("from").alias("path")), keys, "left_anti").join(moves, keys, "left")
     old_path = F.when(F.col("action") == "added", F.col("from")).otherwise(F.col("path"))

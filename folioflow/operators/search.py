@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import Retrieval
 from folioflow.functions.text import COMMON_WORDS, match_form, match_query, match_text, query_terms, quoted_phrases
-from folioflow.operators.lexicon import bm25_column, bm25_indexed, counted_terms, presence, query_stats
+from folioflow.operators.lexicon import bm25_column, bm25_indexed, counted_terms, presence, query_stats, stats_of
 from folioflow.plans.runtime import cut
 
 
@@ -83,18 +83,17 @@ def blended(rows: DataFrame, plan: QueryPlan, r: Retrieval = Retrieval()) -> Dat
 
     The bounds for scaling cover all rows, whatever is filtered later.
     """
-    bounds = rows.agg(
-        F.min("semantic").alias("s0"), F.max("semantic").alias("s1"), F.min("literal").alias("l0"), F.max("literal").alias("l1")
-    )
+    # One row.
+    s0, s1, l0, l1 = (F.lit(x or 0.0) for x in rows.agg(F.min("semantic"), F.max("semantic"), F.min("literal"), F.max("literal")).first())
     ws, wl = r.weights() if plan.vector else (0.0, 1.0)
-    blend = normalised(F.col("literal"), F.col("l0"), F.col("l1")) * wl
+    blend = normalised(F.col("literal"), l0, l1) * wl
     if plan.vector:
-        blend = normalised(F.col("semantic"), F.col("s0"), F.col("s1")) * ws + blend
+        blend = normalised(F.col("semantic"), s0, s1) * ws + blend
     bonus = F.lit(0.0)
     for kind, extra in plan.bonuses.items():
         bonus = bonus + F.when(F.col("doc_type") == kind, extra).otherwise(0.0)
-    scaled = rows.crossJoin(F.broadcast(bounds)).withColumns({"name_boost": F.col("held") * r.proper_noun_boost, "type_bonus": bonus})
-    return scaled.withColumn("score", blend + F.col("name_boost") + F.col("type_bonus")).drop("s0", "s1", "l0", "l1")
+    boosted = rows.withColumns({"name_boost": F.col("held") * r.proper_noun_boost, "type_bonus": bonus})
+    return boosted.withColumn("score", blend + F.col("name_boost") + F.col("type_bonus"))
 
 
 def cap_per_file(hits: DataFrame, k: int, most: int) -> DataFrame:
@@ -158,8 +157,7 @@ def search(
     words = plan.words
     if counted is None:
         counted = counted_terms(keys, words)
-    scored = counted.crossJoin(F.broadcast(query_stats(counted, words)))
-    scores = scored.select("row_id", "path", "doc_type", bm25_column(words, plan.terms).alias("literal"), presence(words, plan.names).alias("held"))
+    scores = counted.withColumns(stats_of(counted, words)).select("row_id", "path", "doc_type", bm25_column(words, plan.terms).alias("literal"), presence(words, plan.names).alias("held"))
     return _ranked(_rows(passages, scores, plan, vectors), passages, plan, r, k, doc_types)
 
 

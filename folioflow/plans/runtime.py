@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,12 +65,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Steps after which rows are no longer where a scan has put them.
+_MOVING = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Union|Distinct|Deduplicate\w*|\w*Limit)\b")
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df``, of a scan without shuffles, over at least as many partitions as there are task slots.
+    """``df``, of a scan, over at least as many partitions as there are task slots.
 
     Round-robin and only where the scan gives fewer partitions than slots, that is for inputs of a
-    few files; a large input already has one partition for each split and is left as it is.
+    few files; a large input already has one partition for each split and is left as it is, as is whatever
+    was joined, grouped or sorted, since its partitions are only known once it has run.
     """
+    if _MOVING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     slots = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 

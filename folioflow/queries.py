@@ -30,7 +30,7 @@ ASKED = Retrieval(intent_cues={"location": ("where", "harbour"), "character": ("
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as passages: the source stands for the file."""
     none = F.lit("")
-    return spread(table(spark, sf, "documents").select("doc_id", "source", "doc_type", "title", "text")).select(
+    return table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("path"), F.coalesce("doc_type", F.lit("other")).alias("doc_type"),
         F.coalesce("title", none).alias("title"), none.alias("section"), F.coalesce("text", none).alias("text"),
     )
@@ -51,7 +51,7 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.with_tokens(corpus(spark, sf))
+    return lexicon.with_tokens(spread(corpus(spark, sf)))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
