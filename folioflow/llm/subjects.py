@@ -17,6 +17,8 @@ from folioflow.plans.runtime import cut, spread
 AT_ONCE = 1_000_000
 #: Raters that are functions of their own; all others are one together.
 OWN_RATERS = 8
+#: So many habits of sources (a short row each) are sent to all executors; more are joined by a shuffle.
+SENT_HABITS = 200_000
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _BITS = 20
@@ -28,13 +30,13 @@ class SubjectModel:
 
     The first lexicon is fitted on about ``most_labelled`` labelled documents, never more than twice as
     many; passes over all documents refine it, until at most a share of ``settled`` of its words changed
-    or after ``most_rounds``. It holds every word that qualifies; from more than ``most_terms`` on, its size
+    or after ``most_rounds``, which is logged as a warning. It holds every word that qualifies; from more than ``most_terms`` on, its size
     is logged as a warning. ``levels`` are the bounds of the share of a document's sentences that the
     lexicon function reports.
     """
 
     most_labelled: int = 20_000
-    most_rounds: int = 5
+    most_rounds: int = 20
     settled: float = 0.03
     most_terms: int = 20_000
     seed_share: float = 0.45
@@ -96,24 +98,71 @@ class Sentences:
         return self.raw[self.begins[i] : self.ends[i]].decode("utf-8", "replace")
 
 
+@dataclass
+class Slice:
+    """The words of a slice of documents as places in its vocabulary, with the sentences they stand in."""
+
+    vocabulary: np.ndarray  # sorted 64-bit hashes of the different words
+    codes: np.ndarray  # of each word, its place in the vocabulary
+    sentence: np.ndarray  # of each word
+    paragraph: np.ndarray  # of each sentence
+    text: np.ndarray  # of each sentence
+
+    @staticmethod
+    def pack(s: Sentences) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+        """Two bytes for most words: a slice has few different ones."""
+        vocabulary, codes = np.unique(s.hashes, return_inverse=True)
+        first = np.flatnonzero(np.append(True, np.diff(s.sentence) != 0))[: len(s.sentence)]
+        lengths = np.diff(np.append(first, len(s.sentence)))
+        small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
+        places = (lengths, s.paragraph[first], s.text[first])
+        return vocabulary.tobytes(), codes.astype(small).tobytes(), *(x.astype(np.uint32).tobytes() for x in places)
+
+    @classmethod
+    def unpack(cls, vocabulary: bytes, codes: bytes, lengths: bytes, paragraph: bytes, text: bytes) -> Slice:
+        known = np.frombuffer(vocabulary, np.uint64)
+        words = np.frombuffer(codes, np.uint16 if len(known) < 1 << 16 else np.uint32).astype(np.int64)
+        per = np.frombuffer(lengths, np.uint32)
+        return cls(known, words, np.repeat(np.arange(len(per)), per), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in (paragraph, text)))
+
+    def tally(self, at: np.ndarray, marks: np.ndarray, n: int) -> pd.DataFrame:
+        """``word`` (its hash), ``n`` occurrences among the words at ``at``, and of these by subject; a mark is a subject or a row of 0 and 1."""
+        size = len(self.vocabulary)
+        codes = self.codes[at]
+        if marks.ndim == 1:
+            used = marks >= 0
+            by = np.bincount(codes[used] * n + marks[used], minlength=size * n).reshape(size, n)
+        else:
+            by = np.stack([np.bincount(codes, marks[:, k], size) for k in range(n)], axis=1).astype(np.int64)
+        total = np.bincount(codes, minlength=size)
+        held = np.flatnonzero(total)
+        return pd.DataFrame({"word": self.vocabulary[held].view(np.int64), "n": total[held]} | {f"s{k}": by[held, k] for k in range(n)})
+
+
+def word_hash(words: list[str]) -> np.ndarray:
+    """The hash that each of the words has within a text; a string of several words has that of the first."""
+    s = Sentences(words)
+    return s.hashes[np.searchsorted(s.text, np.arange(len(words)))] if words else np.zeros(0, np.uint64)
+
+
 class Lexicon:
-    """Words and the one subject that each speaks for."""
-
-    def __init__(self, words: list[tuple[str, int]]):
-        self.words = dict(words)
-        alone = Sentences([w for w, _ in words]) if words else None
-        hashes = alone.hashes if words else np.zeros(0, np.uint64)
-        subject = np.array([s for _, s in words], np.int64)
-        if words:
-            subject = subject[alone.text]
+    """Hashes of words, and the one subject that each speaks for: 16 bytes a word."""
+
+    def __init__(self, subject_of: dict[int, int]):
+        hashes = np.array(list(subject_of), np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.subject = hashes[order], subject[order]
+        self.subject_of = subject_of
+        self.hashes, self.subject = hashes[order], np.array(list(subject_of.values()), np.int64)[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.hashes >> np.uint64(64 - _BITS)] = True
 
+    @classmethod
+    def of_words(cls, words: list[tuple[str, int]]) -> Lexicon:
+        return cls(dict(zip(word_hash([w for w, _ in words]).view(np.int64).tolist(), (k for _, k in words))))
+
     def __getstate__(self) -> dict:
-        """What tasks need: 16 bytes a word, without the words themselves."""
-        return self.__dict__ | {"words": {}}
+        """What tasks need."""
+        return self.__dict__ | {"subject_of": {}}
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The subject of each word, -1 for none."""
@@ -134,46 +183,50 @@ def majority(counts: np.ndarray) -> np.ndarray:
     return np.where((top > 0) & ~tie, best, -1)
 
 
-def _votes(s: Sentences, subject: np.ndarray, n: int) -> np.ndarray:
+def _votes(s: Slice, subject: np.ndarray, n: int) -> np.ndarray:
     used = subject >= 0
-    total = int(s.sentence[-1]) + 1 if len(s.sentence) else 0
+    total = len(s.text)
     return np.bincount(s.sentence[used] * n + subject[used], minlength=total * n).reshape(total, n).astype(np.int32)
 
 
-def _tally(s: Sentences, keys: np.ndarray, marks: np.ndarray, n: int) -> list[tuple]:
-    """(word, occurrences, of these by subject ...) of the words at the places ``keys``."""
-    _, first, inverse = np.unique(s.hashes[keys], return_index=True, return_inverse=True)
-    total = np.bincount(inverse, minlength=len(first))
-    by = np.zeros((len(first), n), np.int64)
-    if marks.ndim == 1:
-        used = marks >= 0
-        np.add.at(by, (inverse[used], marks[used]), 1)
-    else:
-        for k in range(n):
-            by[:, k] = np.bincount(inverse, marks[:, k], len(first))
-    return [(s.word(keys[f]), int(t), *row) for f, t, row in zip(first, total, by.tolist())]
-
-
-def _slices(batch: pd.DataFrame):
-    texts = batch["text"].tolist()
-    for a, b in groups_of([len(t) for t in texts], AT_ONCE):
-        yield batch.iloc[a:b], texts[a:b]
-
-
 def _summed(counts: DataFrame, n: int) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])
 
 
-def _chosen(counts: DataFrame, n: int, share: float, least: int, many: int) -> list[tuple[str, int]]:
+def _chosen(counts: DataFrame, n: int, share: float, least: int, many: int) -> dict[int, int]:
     """Words of which at least ``share`` of the occurrences speak for one subject, with that subject (the first of equals)."""
     by = [F.col(f"s{k}") for k in range(n)]
     top = F.greatest(*by) if n > 1 else by[0]
     best = F.array_position(F.array(*by), top).cast("int") - 1
-    # Only words and numbers come to the driver: the part of the vocabulary that is bound to a subject.
+    # Only hashes and numbers come to the driver: the part of the vocabulary that is bound to a subject.
     rows = counts.where(top >= least).where(top / F.col("n") >= share).select("word", best.alias("subject")).collect()
     if len(rows) > many:
         logging.getLogger(__name__).warning("the lexicon has %d words, more than %d; all are kept", len(rows), many)
-    return sorted((r["word"], r["subject"]) for r in rows)
+    return {r["word"]: r["subject"] for r in rows}
+
+
+_PACKED = ("vocabulary", "codes", "lengths", "paragraphs", "texts")
+
+
+def packed_words(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, source, address) -> ``doc_ids, sources, addresses`` and the packed ``Slice`` of each million characters or so.
+
+    The one pass over the texts; all later ones read these rows, of about two bytes a word.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_ids array<{kind}>, sources array<string>, addresses array<string>, " + ", ".join(f"{c} binary" for c in _PACKED)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = batch["text"].tolist()
+            for a, b in groups_of([len(t) for t in whole], AT_ONCE):
+                part = batch.iloc[a:b]
+                # A slice at a time, so that a task holds no more than one.
+                row = (part["doc_id"].tolist(), part["source"].tolist(), part["address"].tolist(), *Slice.pack(Sentences(whole[a:b])))
+                yield pd.DataFrame([row], columns=names)
+
+    return texts.select("doc_id", "text", "source", "address").mapInPandas(run, schema)
 
 
 def clean_labels(labels: DataFrame, names: list[str], doc_id: str = "doc_id", subject: str = "subject", rater: str = "rater") -> DataFrame:
@@ -200,56 +253,66 @@ def described(descriptions: list[tuple[str, str | None]]) -> list[tuple[str, int
     return [(word, k) for word, (k, *more) in sorted(of.items()) if not more]
 
 
-def fit_lexicon(texts: DataFrame, labels: DataFrame, descriptions: list[tuple[str, str | None]], m: SubjectModel) -> Lexicon:
-    """A lexicon from (doc_id, text) and cleaned labels, refined over all texts.
+def fit_lexicon(words: DataFrame, labels: DataFrame, descriptions: list[tuple[str, str | None]], m: SubjectModel) -> Lexicon:
+    """A lexicon from ``packed_words`` and cleaned labels, refined over all of them.
 
     First, words are counted by document and label over a bounded sample of labelled documents, and
     words of the subjects' descriptions are added. Then
-    every document is read: each sentence is given the subject that most of its lexicon words speak
+    every slice is read: each sentence is given the subject that most of its lexicon words speak
     for, and each of its words is counted under the subject of the sentence's *other* words, so that
     no word confirms itself. Counts are combined in the tasks and summed by word in one shuffle.
     """
     n = len(descriptions)
-    schema = "word string, n bigint, " + ", ".join(f"s{k} bigint" for k in range(n))
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = "word bigint, n bigint, " + ", ".join(f"s{k} bigint" for k in range(n))
     by_doc = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("marks"))
     there = by_doc.count()
     share = min(1.0, m.most_labelled / max(1, there))
     sample = by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * m.most_labelled)
+    context = words.sparkSession.sparkContext
+    marked = context.broadcast({r["doc_id"]: [k for k in r["marks"] if k >= 0] for r in sample.collect()})
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of: dict = marked.value
         for batch in batches:
-            for rows, part in _slices(batch):
-                s = Sentences(part)
-                marks = np.zeros((len(part), n))
-                for i, given in enumerate(rows["marks"]):
-                    marks[i, [k for k in given if k >= 0]] = 1
-                once = np.unique(s.hashes ^ mix(s.text.astype(np.uint64)), return_index=True)[1]
-                yield pd.DataFrame(_tally(s, once, marks[s.text[once]], n), columns=names)
-
-    seeds = _summed(texts.join(F.broadcast(sample), "doc_id").select("text", "marks").mapInPandas(labelled, schema), n)
-    lexicon = Lexicon([*dict(described(descriptions) + _chosen(seeds, n, m.seed_share, m.seed_least, m.most_terms)).items()])
+            for ids, *packed in batch.itertuples(index=False):
+                given = [of.get(i) for i in ids]
+                chosen = np.array([g is not None for g in given], bool)
+                if not chosen.any():
+                    continue
+                s = Slice.unpack(*packed)
+                marks = np.zeros((len(given), n))
+                for i, g in enumerate(given):
+                    marks[i, g or []] = 1
+                text = s.text[s.sentence]
+                at = np.flatnonzero(chosen[text])
+                # Each different word of a document once.
+                at = at[np.unique(text[at] * max(1, len(s.vocabulary)) + s.codes[at], return_index=True)[1]]
+                yield s.tally(at, marks[text[at]], n)
+
+    seeds = _summed(words.select("doc_ids", *_PACKED).mapInPandas(labelled, schema), n)
+    lexicon = Lexicon(Lexicon.of_words(described(descriptions)).subject_of | _chosen(seeds, n, m.seed_share, m.seed_least, m.most_terms))
 
     for _ in range(m.most_rounds):
-        shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+        shared = context.broadcast(lexicon)
 
         def refined(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known: Lexicon = shared.value
             for batch in batches:
-                for _, part in _slices(batch):
-                    s = Sentences(part)
-                    if not len(s.hashes):
-                        continue
-                    subject = known.of(s.hashes)
+                for packed in batch.itertuples(index=False):
+                    s = Slice.unpack(*packed)
+                    subject = known.of(s.vocabulary)[s.codes]
                     others = _votes(s, subject, n)[s.sentence]
                     own = np.flatnonzero(subject >= 0)
                     others[own, subject[own]] -= 1
-                    yield pd.DataFrame(_tally(s, np.arange(len(s.hashes)), majority(others), n), columns=names)
+                    yield s.tally(np.arange(len(s.codes)), majority(others), n)
 
-        counts = _summed(texts.select("text").mapInPandas(refined, schema), n)
+        counts = _summed(words.select(*_PACKED).mapInPandas(refined, schema), n)
         before, lexicon = lexicon, Lexicon(_chosen(counts, n, m.term_share, m.term_least, m.most_terms))
-        if len(before.words.items() ^ lexicon.words.items()) <= m.settled * max(1, len(before.words)):
+        changed = len(before.subject_of.items() ^ lexicon.subject_of.items())
+        if changed <= m.settled * max(1, len(before.subject_of)):
             break
+    else:
+        logging.getLogger(__name__).warning("the lexicon still changed by %d words in the last of %d rounds", changed, m.most_rounds)
     return lexicon
 
 
@@ -304,7 +367,7 @@ def document_subjects(
     without knowing the truth, and a document has the subjects of posterior ``m.posterior`` or more.
 
     The subjects (a small fixed table) and the lexicon (16 bytes for each word bound to a subject) travel
-    with the tasks; documents are never shuffled with their text. Null, empty and wordless texts
+    with the tasks; texts are read and split into words once and never shuffled. Null, empty and wordless texts
     have no subject; null titles, sources and raters abstain; labels of unknown subjects or documents
     are ignored, doubled ones count once; extra columns are ignored.
     """
@@ -320,40 +383,46 @@ def document_subjects(
     if not n:
         return every.select("doc_id", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("posterior")).limit(0)
     given = cut(clean_labels(labels, names))
-    lexicon = documents.sparkSession.sparkContext.broadcast(fit_lexicon(every.select("doc_id", "text"), given, [(x, meaning[x]) for x in names], m))
+    words = cut(packed_words(every))
+    lexicon = documents.sparkSession.sparkContext.broadcast(fit_lexicon(words, given, [(x, meaning[x]) for x in names], m))
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: Lexicon = lexicon.value
         for batch in batches:
-            out = []
-            for rows, part in _slices(batch):
-                s = Sentences(part)
-                if not len(s.hashes):
+            for ids, sources, addresses, *packed in batch.itertuples(index=False):
+                s = Slice.unpack(*packed)
+                if not len(s.codes):
                     continue
-                about = majority(_votes(s, known.of(s.hashes), n))
-                first = np.flatnonzero(np.append(True, np.diff(s.sentence) != 0))
-                text_of, paragraph_of = s.text[first], s.paragraph[first]
-                sentences = np.bincount(text_of, minlength=len(part))
+                size = len(ids)
+                about = majority(_votes(s, known.of(s.vocabulary)[s.codes], n))
+                sentences = np.bincount(s.text, minlength=size)
                 used = about >= 0
-                held = np.bincount(text_of[used] * n + about[used], minlength=len(part) * n).reshape(-1, n)
-                total = int(paragraph_of[-1]) + 1
-                in_paragraph = np.bincount(paragraph_of[used] * n + about[used], minlength=total * n).reshape(-1, n)
-                length = np.bincount(paragraph_of, minlength=total)
+                held = np.bincount(s.text[used] * n + about[used], minlength=size * n).reshape(-1, n)
+                total = int(s.paragraph[-1]) + 1
+                in_paragraph = np.bincount(s.paragraph[used] * n + about[used], minlength=total * n).reshape(-1, n)
+                length = np.bincount(s.paragraph, minlength=total)
                 mostly = (in_paragraph * 2 >= length[:, None]) & (length[:, None] >= m.section_least)
-                begin = np.flatnonzero(np.append(True, np.diff(paragraph_of) != 0))
-                filled = np.zeros((len(part), n))
-                np.add.at(filled, text_of[begin], mostly * length[:, None])
-                address = np.zeros((len(part), n), int)
-                a = Sentences(rows["address"].tolist())
+                begin = np.flatnonzero(np.append(True, np.diff(s.paragraph) != 0))
+                filled = np.zeros((size, n))
+                np.add.at(filled, s.text[begin], mostly * length[:, None])
+                address = np.zeros((size, n), int)
+                a = Sentences(list(addresses))
                 spoken = known.of(a.hashes)
                 address[a.text[spoken >= 0], spoken[spoken >= 0]] = 1
-                for i, k in zip(*np.nonzero((held > 0) | (address > 0))):
-                    out.append((rows["doc_id"].iat[i], rows["source"].iat[i], int(k), held[i, k] / max(1, sentences[i]), filled[i, k] / max(1, sentences[i]), int(address[i, k])))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "subject", "share", "filled", "address"])
+                i, k = np.nonzero(((held > 0) | (address > 0)) & (sentences[:, None] > 0))
+                if not len(i):
+                    continue
+                yield pd.DataFrame(
+                    {
+                        "doc_id": [ids[x] for x in i], "source": [sources[x] for x in i], "subject": k,
+                        "share": held[i, k] / sentences[i], "filled": filled[i, k] / sentences[i], "address": address[i, k],
+                    }
+                )
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    seen = cut(every.mapInPandas(shares, f"doc_id {kind}, source string, subject int, share double, filled double, address int"))
-    docs = every.select("doc_id", "source")
+    schema = f"doc_id {kind}, source string, subject int, share double, filled double, address int"
+    seen = cut(words.select("doc_ids", "sources", "addresses", *_PACKED).mapInPandas(shares, schema))
+    docs = cut(words.select(F.explode(F.arrays_zip("doc_ids", "sources")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.sources").alias("source")))
 
     # How much oftener than elsewhere documents of a source are clearly about a subject.
     clear = F.col("share") >= m.levels[-1]
@@ -363,11 +432,14 @@ def document_subjects(
     overall = per.groupBy("subject").agg(F.sum("hits").alias("all_hits")).withColumn("rows", F.lit(1))
     named = docs.where("source <> ''").agg(F.count(F.lit(1)).alias("all_docs"))
     lift = (F.col("hits") + 1) / (F.col("size") * F.col("all_hits") / F.col("all_docs") + 1)
-    habit = (
+    habit = cut(
         per.join(sizes, "source").join(F.broadcast(overall), "subject").join(F.broadcast(named))
         .select("source", "subject", F.when(lift >= 2, 2).when(lift <= 0.5, 1).otherwise(0).alias("habit"))
         .where("habit > 0")
     )
+    # One source may have most of the documents, so they stay where they are while the habits can be sent.
+    if habit.limit(SENT_HABITS + 1).count() <= SENT_HABITS:
+        habit = F.broadcast(habit)
 
     raters = [r[0] for r in given.groupBy("rater").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rater").limit(OWN_RATERS + 1).collect()]
     raters, pooled = raters[:OWN_RATERS], len(raters) > OWN_RATERS

@@ -1,7 +1,7 @@
 import random
 
 from folioflow.llm import subjects as module
-from folioflow.llm.subjects import Lexicon, Sentences, SubjectModel, accuracy_model, clean_labels, document_subjects, fit_lexicon, majority
+from folioflow.llm.subjects import Lexicon, Sentences, Slice, SubjectModel, accuracy_model, clean_labels, document_subjects, fit_lexicon, majority, packed_words, word_hash
 
 import numpy as np
 
@@ -58,7 +58,7 @@ def test_sentences_and_paragraphs():
 
 
 def test_lexicon_and_majority():
-    lexicon = Lexicon([("court", 0), ("lute", 1)])
+    lexicon = Lexicon.of_words([("court", 0), ("lute", 1)])
     assert lexicon.of(Sentences(["Court lute, other"]).hashes).tolist() == [0, 1, -1]
     assert majority(np.array([[2, 1], [1, 1], [0, 0], [0, 3]])).tolist() == [0, -1, -1, 1]
 
@@ -104,10 +104,21 @@ def test_labels_of_all_raters_vote(spark, monkeypatch):
 
 def test_lexicon_keeps_every_word_that_qualifies(spark, caplog):
     docs, _, labels = corpus()
-    texts = spark.createDataFrame(docs, DOCS).select("doc_id", "text")
+    texts = packed_words(spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "text", "source", "title AS address"))
     given = clean_labels(spark.createDataFrame(labels, LABELS), sorted(WORDS))
     meaning = [(s, f"about {s}") for s in sorted(WORDS)]
     whole = fit_lexicon(texts, given, meaning, SubjectModel())
-    assert not caplog.records and {(w, k) for k, s in enumerate(sorted(WORDS)) for w in WORDS[s]} <= whole.words.items()
-    assert fit_lexicon(texts, given, meaning, SubjectModel(most_terms=5)).words == whole.words
+    expected = {(int(h), k) for k, s in enumerate(sorted(WORDS)) for h in word_hash(WORDS[s]).view(np.int64)}
+    assert not caplog.records and expected <= whole.subject_of.items()
+    assert fit_lexicon(texts, given, meaning, SubjectModel(most_terms=5)).subject_of == whole.subject_of
     assert "all are kept" in caplog.text
+    fit_lexicon(texts, given, meaning, SubjectModel(most_rounds=1, settled=-1.0))
+    assert "still changed" in caplog.text
+
+
+def test_slices_are_packed_and_unpacked_whole():
+    s = Sentences(["One two. Two three.\n\nFour", "", "one"])
+    back = Slice.unpack(*Slice.pack(s))
+    assert back.vocabulary[back.codes].tolist() == s.hashes.tolist() and back.sentence.tolist() == s.sentence.tolist()
+    assert back.text.tolist() == [0, 0, 0, 2] and back.paragraph.tolist() == [0, 0, 1, 2]
+    assert len(Slice.unpack(*Slice.pack(Sentences(["", ""]))).codes) == 0
