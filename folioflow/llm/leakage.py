@@ -18,8 +18,8 @@ from folioflow.plans.runtime import spread
 #: Characters of documents that are filtered together, and the longest stretch of one document that is
 #: looked at in one piece (longer ones are looked at in stretches that overlap by the longest item).
 AT_ONCE = 1_000_000
-#: Characters of items that one pass holds in each task; more items are taken in several passes.
-ITEMS_AT_ONCE = 20_000_000
+#: Characters of items that one pass holds in each task, at some 35 bytes each; more items are taken in several passes.
+ITEMS_AT_ONCE = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
 
@@ -46,16 +46,21 @@ def spaced(words: list[str]) -> str:
     return f" {' '.join(words)} "
 
 
-def within_edits(a: str, b: str, most: int) -> int:
-    """The least edit distance of ``a`` to any stretch of ``b``, by a band of diagonals; most + 1 if above.
+def within_edits(a: str, b: str, most: int, budget: int) -> int:
+    """The least edit distance of ``a`` to any stretch of ``b``, by a band of diagonals; above ``budget`` if there is none.
 
     ``b`` starts ``most`` characters before where ``a`` is expected, so only 2 x most + 1 diagonals on
-    either side can hold an alignment within the budget.
+    either side can hold an alignment within ``most`` edits. An alignment without edits keeps to one diagonal, so
+    for a budget of 0 each is compared whole, and only with more the band is filled in.
     """
+    if any(b.startswith(a, k) for k in range(2 * most + 1)):
+        return 0
+    if not budget:
+        return most + 1
     width = 4 * most + 1
-    row = [0 if k <= 2 * most else most + 1 for k in range(width)]
+    row = [0 if k <= 2 * most else budget + 1 for k in range(width)]
     for i, c in enumerate(a):
-        after = [most + 1] * width
+        after = [budget + 1] * width
         for k in range(width):
             j = i + k
             best = row[k] + (j >= len(b) or b[j] != c)
@@ -63,10 +68,10 @@ def within_edits(a: str, b: str, most: int) -> int:
                 best = min(best, row[k + 1] + 1)
             if k:
                 best = min(best, after[k - 1] + 1)
-            after[k] = min(best, most + 1)
+            after[k] = min(best, budget + 1)
         row = after
-        if min(row) > most:
-            return most + 1
+        if min(row) > budget:
+            return budget + 1
     return min(row)
 
 
@@ -215,24 +220,24 @@ class ItemIndex:
 
     def verify(self, whole: str, n: int, x: np.ndarray, y: np.ndarray) -> int:
         """The fewest edits by which a window of the item stands along these diagonals of the text."""
-        text, q, best = self.texts[n], self.size[n], self.edits + 1
+        text, q = self.texts[n], self.size[n]
         order = np.argsort(y, kind="stable")
         x, y = x[order], y[order]
-        unlike = []
         begins, ends = self.windows[n]
         i, j = np.searchsorted(y, begins), np.searchsorted(y, ends - q, side="right")
+        windows = []
         for k in np.flatnonzero(j - i >= np.maximum(1, ends - begins + 1 - q * (self.edits + 1))):
             a, b = int(begins[k]), int(ends[k])
-            at = int(x[i[k]] - y[i[k]]) + a
-            if whole.find(text[a:b], max(0, at - self.edits), at + b - a + self.edits) >= 0:
-                return 0
-            unlike.append((a, b, at))
-        for a, b, at in unlike:
-            low = max(0, at - self.edits)
-            best = min(best, within_edits(text[a:b], whole[low : at + b - a + 2 * self.edits], self.edits))
-            if best == 1:
-                break
-        return best
+            low = int(x[i[k]] - y[i[k]]) + a - self.edits
+            windows.append(("\0" * max(0, -low), text[a:b], max(0, low), low + b - a + 3 * self.edits))
+        # All windows are aligned for no edits before any is for some, as most that leak do so word for word.
+        best = self.edits + 1
+        for budget in sorted({0, self.edits}):
+            for pad, window, low, high in windows:
+                best = min(best, within_edits(window, pad + whole[low:high], self.edits, budget))
+                if best <= (1 if budget else 0):
+                    return best
+        return best if best <= self.edits else self.edits + 1
 
 
 def _runs(counts: np.ndarray, most: int, text: np.ndarray) -> list[tuple[int, int]]:
@@ -270,7 +275,7 @@ def leaked_items(
     characters and travel with the tasks. Documents never move: each batch is filtered by q-grams
     (16 characters, fewer for short items): only stretches with as many shared grams as the lemma
     demands of a match are compared with item positions, counted in overlapping bands of diagonals,
-    and what is left is verified by banded alignment. The result alone is shuffled, to be distinct.
+    and what is left is verified by banded alignment, for no edits first. The result alone is shuffled, to be distinct.
 
     Null and empty texts and texts without words give no rows, nor do items without words; repeated
     rows count once; very long texts are looked at whole, in overlapping stretches; extra columns are

@@ -30,7 +30,7 @@ def test_words_as_seen():
 
 def test_banded_distance():
     for a, b, e in (("abcdef", "xabcdefx", 0), ("abcdef", "xabcefxx", 1), ("abcdef", "xabzcdefx", 1), ("abcdef", "xazzdefx", 2)):
-        assert within_edits(a, b, 1) == e
+        assert min(2, within_edits(a, b, 1, 1)) == e
 
 
 def test_equals_brute_force(spark):
@@ -82,3 +82,44 @@ def test_empty_tables(spark):
 def test_long_stretch_boundaries():
     index = ItemIndex.build([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], 12, 1)
     assert index.leaks([spaced(["x"] * 50 + reader_words(index.texts[0])[1:] + ["y"])]) == [(0, 1, 0)]
+
+
+def distance(a, b):
+    """The least edit distance of ``a`` to any stretch of ``b``, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for i, c in enumerate(a, 1):
+        after = [i]
+        for j, d in enumerate(b, 1):
+            after.append(min(row[j] + 1, after[j - 1] + 1, row[j - 1] + (c != d)))
+        row = after
+    return min(row)
+
+
+def test_revised_leaks_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 6, 9])))) for i in range(8)]
+    docs = []
+    for d in range(60):
+        body = rng.choices(words, k=30)
+        part = rng.choice(items)[1].split()
+        k = min(6, len(part))
+        at = rng.randrange(len(part) - k + 1)
+        held = " ".join(part[at : at + k])
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            x = rng.randrange(len(held))
+            held = rng.choice([held[:x] + "z" + held[x + 1 :], held[:x] + held[x + 1 :], held[:x] + "z" + held[x:]])
+        place = rng.choice([0, 10, 30])
+        docs.append((d, " ".join([*body[:place], held, *body[place:]])))
+    expected = {}
+    for d, body in docs:
+        form = spaced(reader_words(body))
+        for i, text in items:
+            w = reader_words(text)
+            k = min(6, len(w))
+            best = min(distance(spaced(w[n : n + k]), form) for n in range(len(w) - k + 1))
+            if best <= 1:
+                expected[d, i] = best
+    df = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in leaked_items(*df, words=6).collect()}
+    assert {0, 1} <= set(expected.values()) and found == expected
