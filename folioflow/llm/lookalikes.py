@@ -168,9 +168,12 @@ def look_alike_keys(passages: DataFrame, row_id: str = "row_id", path: str = "pa
     The printed form is canonical composition without characters that print nothing, with plain
     blanks and ordinary-width letters; case, accents, the number of blanks, tabs, line ends, quotes,
     dashes and styled letters stay as they are. Then look-alike letters are replaced script by
-    script: only in tokens that mix scripts, towards the token's dominant script, and only where the
-    result is a word of the corpus or what two or more different spellings agree on. Real words of
-    another script are left alone.
+    script. In a token that mixes scripts they are replaced towards its dominant script, or that of the text about it if
+    the whole token can be read in it, where the result is a word of the corpus. Two further steps go beyond
+    that rule, since whole words are written in look-alikes too: a token wholly in another script than the text about it
+    is also replaced, if every letter of it has a look-alike (``сор`` within Latin text, where ``cop`` is a word; not
+    ``кот``, which has none for ``т``, nor any word of a text in its own script); and a result that two or more
+    different spellings agree on needs not be a word of the corpus.
 
     Only strings with odd characters are shuffled with their text; all others travel as two hashes.
     The vocabulary is a distinct aggregate, and reaches the odd strings by a join on their candidate
@@ -193,7 +196,8 @@ def look_alike_keys(passages: DataFrame, row_id: str = "row_id", path: str = "pa
             keys = [_digest(bytes(scope).decode("utf-8", "surrogatepass"), form) for scope, form in zip(batch.row_key, forms)]
             yield pd.DataFrame({"field": batch.field, "raw": batch.raw, "key": keys, "form": forms})
 
-    fixed = work.mapInPandas(fix, "field string, raw binary, key binary, form string")
+    # Needed by every reader of the keys; no more rows than there are different odd strings.
+    fixed = cut(work.mapInPandas(fix, "field string, raw binary, key binary, form string"))
     odd_rows = odd.select("field", "row_id", "raw").join(fixed, ["field", "raw"])
     plain = scanned.where("kind = 'plain'").select("field", "row_id", "raw", F.col("raw").alias("key"), F.lit(None).cast("string").alias("form"))
     return plain.unionByName(odd_rows.select("field", "row_id", "raw", "key", "form"))

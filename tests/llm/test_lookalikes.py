@@ -23,6 +23,15 @@ def test_repairs_need_mixed_scripts_and_a_known_word():
     assert repaired("the А team", {"A"}) == "the A team"
 
 
+def test_whole_tokens_of_look_alikes(spark):
+    assert repairs("сор", "Latin") == ["cop"] and repairs("кот", "Latin") == [] and repairs("сор", "Cyrillic") == []
+    rows = [(1, "p", "The сор ran to the door", ""), (2, "p", "The cop ran to the door", ""), (3, "p", "Это сор и кот", ""), (4, "q", "The сорх ran", "")]
+    keys = look_alike_keys(spark.createDataFrame(rows, "row_id bigint, path string, text string, section string"))
+    forms = {r.row_id: r.form for r in keys.where("form is not null and field = 'text'").collect()}
+    assert forms[1] == "The cop ran to the door" and forms[3] == "Это сор и кот" and forms[4] == "The сорх ran"
+    assert {tuple(r)[1:] for r in look_alike_pairs(keys).where("field = 'text'").collect()} == {(1, 2)}
+
+
 def test_pairs(spark):
     rows = [
         (1, "p", "The door", "House > A"),
