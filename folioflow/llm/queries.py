@@ -34,8 +34,8 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf: str, with_text: bool) -> dict[str, DataFrame]:
     return {
-        "docs": split_oversized(table(spark, sf, "docs"), "load_id", prefix="section_prefix", with_text=with_text),
-        "passages": split_oversized(table(spark, sf, "passages"), "row_id", section="section", with_text=with_text),
+        "docs": split_oversized(table(spark, sf, "docs"), "load_id", prefix="section_prefix", with_text=with_text, once=with_text),
+        "passages": split_oversized(table(spark, sf, "passages"), "row_id", section="section", with_text=with_text, once=with_text),
     }
 
 
@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """All pieces, with their text; rows delivered again give theirs once."""
     a, b = (p.select(F.lit(name).alias("item_table"), "*") for name, p in _split(spark, sf, True).items())
-    return a.unionByName(b).dropDuplicates(["item_table", "item_id", "piece_no", "start_pos", "end_pos"])
+    return a.unionByName(b)
 
 
 #: As TESTDATA.md states the problem: sets of three-word sequences, similarity 0.7, 20 words.

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.plans.runtime import spread
+from folioflow.plans.runtime import cut, spread
 
 LIMIT = 1800
 OVERLAP = 150
@@ -121,6 +121,18 @@ def split_text(text: str, section: str | None, prefix: str = "", limit: int = LI
     return [(a, b, label, level) for s, e, label in spans for a, b, level in pieces(text, s, e, limit, overlap)]
 
 
+#: So many keys of items that came more than once are sent to all executors; more are joined by a shuffle.
+SENT_KEYS = 1_000_000
+
+
+def delivered_once(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without repeated ones, with only the items shuffled whose ``key`` came more than once."""
+    again = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(key))
+    if again.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        again = F.broadcast(again)
+    return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").distinct())
+
+
 def split_oversized(
     items: DataFrame,
     key: str,
@@ -130,6 +142,7 @@ def split_oversized(
     limit: int = LIMIT,
     overlap: int = OVERLAP,
     with_text: bool = True,
+    once: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``limit`` characters (code points) of every item that is longer.
 
@@ -140,7 +153,7 @@ def split_oversized(
     in its section. No shuffle: the filter runs in the scan's stage and each row is cut where it is.
 
     Null, empty and short texts give no rows, null sections count as ``''``, a repeated row gives its
-    pieces again, extra columns are ignored. ``overlap`` must be less than half of ``limit``.
+    pieces again unless ``once``, extra columns are ignored. ``overlap`` must be less than half of ``limit``.
 
     Returns ``item_id, piece_no int, start_pos int, end_pos int, section, cut_level, text``; ``cut_level``
     is that of the cut at the piece's end (``character`` for one inside an unbroken run). Without
@@ -168,7 +181,7 @@ def split_oversized(
     kind = items.schema[key].dataType.simpleString()
     schema = f"item_id {kind}, piece_no int, start_pos int, end_pos int, section string, cut_level string" + ", text string" * with_text
     names = [part.split()[0] for part in schema.split(", ")]
-    return spread(rows).mapInPandas(run, schema)
+    return spread(delivered_once(rows, "item_id") if once else rows).mapInPandas(run, schema)
 
 
 def cut_kinds(pieces_of_items: DataFrame) -> DataFrame:

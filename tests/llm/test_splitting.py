@@ -93,3 +93,12 @@ def test_overlap_in_a_run_with_pauses_and_marks():
 def test_whole_words_go_before_overlap():
     out = check("a b " + "w" * 1799 + " " + "v" * 1750, section="")
     assert [x[:2] for x in out] == [(0, 4), (4, 1804), (1804, 3554)] and "character" not in {x[3] for x in out}
+
+
+def test_repeated_rows_give_their_pieces_once(spark):
+    rows = [(1, "word " * 500, "s"), (1, "word " * 500, "s"), (2, "other " * 500, "s"), (3, "word " * 500, "s"), (3, "word " * 501, "s"), (4, "short", "s"), (4, "short", "s")]
+    df = spark.createDataFrame(rows, "k bigint, text string, part string")
+    pieces = split_oversized(df, "k", section="part", once=True)
+    spans = [tuple(r) for r in pieces.select("item_id", "piece_no", "start_pos", "end_pos").collect()]
+    assert len(spans) == len(set(spans)) + 1 and {s[0] for s in spans} == {1, 2, 3}
+    assert sorted(set(spans)) == sorted({tuple(r) for r in split_oversized(df, "k", section="part").select("item_id", "piece_no", "start_pos", "end_pos").collect()})
