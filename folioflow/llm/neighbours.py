@@ -23,7 +23,8 @@ class Neighbours:
 
     ``projected`` Gaussian (2-stable) projections; a search stops when, for a point at the k-th
     distance found, a projection this far off has a chi-square probability of ``stop`` or more.
-    ``block`` vectors are searched together in a task, in leaves of ``leaf``. The tree over all blocks
+    ``block`` to ``most_block`` vectors are searched together in a task: as many as leave each slot a few
+    blocks, since every block has the leaves it opens sent to it. Leaves hold ``leaf`` vectors. The tree over all blocks
     is fitted on about ``sample`` vectors, at most ``most_sample``; every vector is indexed.
     """
 
@@ -32,6 +33,7 @@ class Neighbours:
     projected: int = 6
     stop: float = 0.85
     block: int = 8192
+    most_block: int = 65_536
     leaf: int = 256
     sample: int = 20_000
     most_sample: int = 40_000
@@ -102,18 +104,22 @@ def _leaves(points: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    whole = vectors.astype(float)
+    whole /= np.abs(whole).max(axis=1, keepdims=True)
+    return whole / np.linalg.norm(whole, axis=1, keepdims=True)
+
+
 class Block:
-    """Vectors of one block in the order of its leaves, with their leaves' boxes."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, members: dict[int, list[int]], p: Neighbours):
-        whole = vectors.astype(float)
-        unit = whole / np.linalg.norm(whole / np.abs(whole).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(whole).max(axis=1, keepdims=True)
-        points = unit @ p.projection()
-        leaves = _leaves(points, p.leaf)
-        order = np.concatenate(leaves)
-        self.ids, self.unit, self.points, self.members = ids[order], unit[order], points[order], members
+    """Vectors in the order of their leaves, with the leaves' boxes."""
+
+    def __init__(self, leaves: list[tuple[np.ndarray, np.ndarray, dict[int, list[int]]]], p: Neighbours):
+        ids, vectors, members = zip(*leaves)
+        self.ids, self.members = np.concatenate(ids), {k: v for m in members for k, v in m.items()}
+        self.unit = _unit(np.concatenate(vectors))
+        self.points = self.unit @ p.projection()
         self.near = self.unit.astype(np.float32)
-        self.edges = np.cumsum([0, *map(len, leaves)])
+        self.edges = np.cumsum([0, *map(len, ids)])
         self.low = np.minimum.reduceat(self.points, self.edges[:-1])
         self.high = np.maximum.reduceat(self.points, self.edges[:-1])
 
@@ -127,6 +133,12 @@ def _beyond(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
+def _apart(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Squared projected distance of each box of one list to each of another."""
+    gap = np.maximum(lows[None, :, :] - high[:, None, :], low[:, None, :] - highs[None, :, :])
+    return (np.maximum(0, gap) ** 2).sum(axis=2)
+
+
 class Search:
     """The queries of one block, and the nearest found so far of each."""
 
@@ -195,7 +207,9 @@ class Search:
         return out
 
 
-_BLOCK = "cell int, sub int, n int, low array<double>, high array<double>, data binary"
+_BLOCK = "cell int, sub int, low array<double>, high array<double>, boxes binary, leaves array<binary>"
+#: Leaves that are looked at together, nearest first, once they have come to a block.
+_AT_ONCE = 16
 
 
 def usable_vectors(vectors: DataFrame, p: Neighbours, row_id: str = "row_id", embedding: str = "embedding", indexed_at: str = "indexed_at") -> DataFrame:
@@ -226,11 +240,12 @@ def nearest_vectors(vectors: DataFrame, p: Neighbours = Neighbours(), **columns:
     Copies of one vector are one point of the index, with the k + 1 smallest row_ids they have (found
     by a grouped limit, so a group that holds a third of all rows is cut before it is shuffled) and
     the same neighbours for each. Points are projected and placed in the cells of a kd-tree fitted on
-    a bounded sample; a cell is packed into blocks of about ``p.block`` points. Each block first searches
+    a bounded sample; a cell is packed into blocks, and a block into leaves. Each block first searches
     itself, and from the distances found states which other cells can still hold a nearer point by
-    the chi-square test. Only those travel to it, and it takes them nearest first, one at a time, each
+    the chi-square test. The boxes of those cells' leaves, without their points, are then compared with those
+    of the block's own; only leaves that one of these can still open travel to the block, which takes them nearest first, a few at a time, each
     shrinking the radius that the next is tested with. So a task holds one block of queries, its
-    results and one block of points, whatever the size of the table. The stopping test is the only
+    results and a few leaves, whatever the size of the table. The stopping test is the only
     approximation: a visited leaf is searched whole.
     """
     usable = cut(usable_vectors(vectors, p, **columns))
@@ -245,36 +260,37 @@ def nearest_vectors(vectors: DataFrame, p: Neighbours = Neighbours(), **columns:
     share = min(1.0, p.sample / max(1, n))
     sample = points.where(F.pmod(F.col("vkey.x"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(p.most_sample)
     fitted = np.array([r[0] for r in sample.collect()], float).reshape(-1, p.dims)
-    depth = int(np.ceil(np.log2(max(1.0, n / p.block))))
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
+    block = int(min(max(p.block, n / (4 * slots)), max(p.block, p.most_block)))
+    depth = int(np.ceil(np.log2(max(1.0, n / block))))
     depth = max(0, min(depth, int(np.log2(max(1, len(fitted) // 16)))))
-    unit = fitted / np.linalg.norm(fitted, axis=1, keepdims=True)
-    tree = Tree.fit(unit @ p.projection(), depth)
+    tree = Tree.fit(_unit(fitted) @ p.projection(), depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection = p.projection()
         for batch in batches:
             if batch.num_rows:
                 values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p.dims).astype(float)
-                values /= np.abs(values).max(axis=1, keepdims=True)
-                values /= np.linalg.norm(values, axis=1, keepdims=True)
-                cells = pa.array(tree.cells(values @ projection).astype(np.int32))
+                cells = pa.array(tree.cells(_unit(values) @ projection).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([cells, *(batch.column(i) for i in range(3))], names=["cell", "rep", "members", "embedding"])
 
     placed = points.select("rep", "members", "embedding").mapInArrow(place, "cell int, rep bigint, members array<bigint>, embedding array<float>")
     held = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [max(1, -(-held.get(c, 0) // (p.block * 2))) for c in range(2**depth)]
+    parts = [max(1, -(-held.get(c, 0) // (block * 2))) for c in range(2**depth)]
     subs = F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1)
 
     def pack(table: pa.Table) -> pa.Table:
         members = table.column("members").to_pylist()
         ids = table.column("rep").to_numpy()
         values = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, p.dims)
-        block = Block(ids, values, {int(i): m for i, m in zip(ids, members) if len(m) > 1}, p)
-        data = pickle.dumps((ids, values, block.members))
+        points = _unit(values) @ p.projection()
+        parts = _leaves(points, p.leaf)
+        leaves = [(ids[x], values[x], {int(ids[i]): members[i] for i in x if len(members[i]) > 1}) for x in parts]
+        low, high = (np.array([f(points[x], axis=0) for x in parts]) for f in (np.min, np.max))
         return pa.table(
             {
-                "cell": table.column("cell").slice(0, 1), "sub": table.column("sub").slice(0, 1), "n": pa.array([len(ids)], pa.int32()),
-                "low": [block.low.min(axis=0).tolist()], "high": [block.high.max(axis=0).tolist()], "data": [data],
+                "cell": table.column("cell").slice(0, 1), "sub": table.column("sub").slice(0, 1), "low": [low.min(axis=0).tolist()],
+                "high": [high.max(axis=0).tolist()], "boxes": [pickle.dumps((low, high))], "leaves": [list(map(pickle.dumps, leaves))],
             }
         )
 
@@ -284,47 +300,61 @@ def nearest_vectors(vectors: DataFrame, p: Neighbours = Neighbours(), **columns:
     order = sorted(boxes)
     low = np.array([boxes[c][: p.projected] for c in order]).reshape(-1, p.projected)
     high = np.array([boxes[c][p.projected :] for c in order]).reshape(-1, p.projected)
-    several = {c for c in order if held[c] > p.block * 2}
+    several = {c for c in order if held[c] > block * 2}
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                search = Search(Block(*pickle.loads(row["data"]), p), p)
-                search.visit(search.block)
-                lower = _beyond(search.block.points, low, high)
-                may = lower <= search.radius(slice(None))[:, None]
-                need = [
-                    {"to": c, "far": float(lower[:, i].mean())} for i, c in enumerate(order) if may[:, i].any() and (c != row["cell"] or c in several)
-                ]
+                own = Block(list(map(pickle.loads, row["leaves"])), p)
+                search = Search(own, p)
+                search.visit(own)
+                radius = search.radius(slice(None))
+                may = _beyond(own.points, low, high) <= radius[:, None]
+                need = [c for i, c in enumerate(order) if may[:, i].any() and (c != row["cell"] or c in several)]
+                asks = pickle.dumps((own.low, own.high, np.maximum.reduceat(radius, own.edges[:-1])))
                 state = pickle.dumps((search.ids, search.cos, search.members))
-                yield pa.RecordBatch.from_pylist([{"cell": row["cell"], "sub": row["sub"], "need": need, "data": row["data"], "state": state}], schema=started)
+                yield pa.RecordBatch.from_pylist([{"cell": row["cell"], "sub": row["sub"], "need": need, "asks": asks, "state": state}], schema=started)
 
-    started = pa.schema(
-        [("cell", pa.int32()), ("sub", pa.int32()), ("need", pa.list_(pa.struct([("to", pa.int32()), ("far", pa.float64())]))), ("data", pa.binary()), ("state", pa.binary())]
-    )
-    states = cut(blocks.mapInArrow(begin, "cell int, sub int, need array<struct<to:int,far:double>>, data binary, state binary"))
-    wanted = states.select(F.col("cell").alias("qc"), F.col("sub").alias("qs"), F.explode("need").alias("w")).select("qc", "qs", "w.to", "w.far")
-    visits = wanted.join(blocks, wanted["to"] == blocks["cell"]).where("not (qc = cell and qs = sub)")
-    stream = visits.select("qc", "qs", "far", "data", F.lit(None).cast("binary").alias("state")).unionByName(
-        states.select(F.col("cell").alias("qc"), F.col("sub").alias("qs"), F.lit(-1.0).alias("far"), "data", "state")
-    )
+    started = pa.schema([("cell", pa.int32()), ("sub", pa.int32()), ("need", pa.list_(pa.int32())), ("asks", pa.binary()), ("state", pa.binary())])
+    states = cut(blocks.select("cell", "sub", "leaves").mapInArrow(begin, "cell int, sub int, need array<int>, asks binary, state binary"))
+    wanted = states.select(F.col("cell").alias("qc"), F.col("sub").alias("qs"), "asks", F.explode("need").alias("to"))
+    compared = wanted.join(blocks.select("cell", "sub", "boxes"), F.col("to") == F.col("cell")).where("not (qc = cell and qs = sub)")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qc, qs, cell, sub, asks, boxes in zip(*(batch[c].to_pylist() for c in ("qc", "qs", "cell", "sub", "asks", "boxes"))):
+                own_low, own_high, radius = pickle.loads(asks)
+                lower = _apart(own_low, own_high, *pickle.loads(boxes))
+                leaf = np.flatnonzero((lower <= radius[:, None]).any(axis=0))
+                fixed = [pa.array(np.full(len(leaf), x, np.int32)) for x in (qc, qs, cell, sub)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(leaf.astype(np.int32)), pa.array(lower[:, leaf].mean(axis=0))], names=["qc", "qs", "cell", "sub", "leaf", "far"])
+
+    opens = compared.select("qc", "qs", "cell", "sub", "asks", "boxes").mapInArrow(opened, "qc int, qs int, cell int, sub int, leaf int, far double")
+    leaves = blocks.select("cell", "sub", F.posexplode("leaves").alias("leaf", "data"))
+    visits = opens.join(leaves, ["cell", "sub", "leaf"]).select("qc", "qs", "far", F.array("data").alias("data"), F.lit(None).cast("binary").alias("state"))
+    begun = states.join(blocks, ["cell", "sub"]).select(F.col("cell").alias("qc"), F.col("sub").alias("qs"), F.lit(-1.0).alias("far"), F.col("leaves").alias("data"), "state")
+    stream = visits.unionByName(begun)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(search: Search) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(search.block.ids), pa.array(search.nearest(width), pa.list_(pa.int64()))], names=["rep", "near"])
 
-        search = None
+        search, waiting = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                data, state = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-                block = Block(*pickle.loads(data), p)
-                if state is not None:
-                    if search is not None:
-                        yield done(search)
-                    search = Search(block, p)
-                    search.ids, search.cos, search.members = pickle.loads(state)
-                else:
-                    search.visit(block)
+                own, state = list(map(pickle.loads, batch.column(3)[i].as_py())), batch.column(4)[i].as_py()
+                if waiting and (state is not None or len(waiting) >= _AT_ONCE):
+                    search.visit(Block(waiting, p))
+                    waiting = []
+                if state is None:
+                    waiting += own
+                    continue
+                if search is not None:
+                    yield done(search)
+                search = Search(Block(own, p), p)
+                search.ids, search.cos, search.members = pickle.loads(state)
+        if waiting:
+            search.visit(Block(waiting, p))
         if search is not None:
             yield done(search)
 
