@@ -65,6 +65,39 @@ SELECT x AS row_id_a, y AS row_id_b FROM p JOIN n na ON na.row_id = x JOIN n nb
 """
 
 
+_GRAMS = """
+WITH RECURSIVE r AS (SELECT DISTINCT row_id, path, text FROM passages WHERE text IS NOT NULL),
+w AS (SELECT row_id, regexp_extract_all(lower(coalesce(path, '') || ' ' || text), '[a-z0-9]+') AS t FROM r WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= <least>),
+s AS (SELECT row_id, array_to_string(t[i : i + <words> - 1], ' ') AS g, count(*) AS c FROM (SELECT row_id, t, unnest(range(1, len(t) - <words> + 2)) AS i FROM w) GROUP BY ALL),
+n AS (SELECT row_id, sum(c) AS n, count(*) AS d, md5(string_agg(g || CASE WHEN <multiset> THEN c ELSE 1 END, ',' ORDER BY g)) AS h FROM s GROUP BY 1),
+k AS (SELECT row_id, min(row_id) OVER (PARTITION BY h) AS rep, n, d FROM n),
+"""
+
+
+def _grams(words: int, least: int, multiset: bool) -> str:
+    return _GRAMS.replace("<words>", str(words)).replace("<least>", str(least)).replace("<multiset>", str(multiset).lower())
+
+
+MULTISETS = f"""{_grams(5, 0, True)}
+f AS (SELECT s.* FROM s JOIN k USING (row_id) WHERE rep = row_id),
+p AS (SELECT a.row_id AS x, b.row_id AS y, sum(least(a.c, b.c)) AS o FROM f a JOIN f b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT x AS row_id_a, y AS row_id_b, round(o / (a.n + b.n - o), 6) AS similarity FROM p JOIN k a ON a.row_id = x JOIN k b ON b.row_id = y WHERE o >= 0.8 * (a.n + b.n - o) - 1e-9
+"""
+
+GROUPS = f"""{_grams(3, 20, False)}
+f AS (SELECT s.* FROM s JOIN k USING (row_id) WHERE rep = row_id),
+p AS (SELECT a.row_id AS x, b.row_id AS y, count(*) AS o FROM f a JOIN f b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN k a ON a.row_id = x JOIN k b ON b.row_id = y WHERE o >= 0.7 * (a.d + b.d - o) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT DISTINCT x AS rep, x AS seen FROM e UNION SELECT rep, y FROM reach JOIN e ON seen = x),
+g AS (SELECT rep, min(seen) AS low FROM reach GROUP BY 1),
+size AS (SELECT rep, count(*) AS size FROM k GROUP BY 1),
+o AS (SELECT x AS rep, sum(size) AS others FROM e JOIN size ON rep = y GROUP BY 1)
+SELECT row_id, rep AS class_id, least(rep, coalesce(low, rep)) AS group_id, (coalesce(others, 0) + size - 1)::BIGINT AS links
+FROM k JOIN size USING (rep) LEFT JOIN o USING (rep) LEFT JOIN g USING (rep)
+"""
+
+
 def _words(x: str) -> str:
     seen = _NOTHING[:-1] + r"*_`~]"
     return rf"regexp_extract_all(nfc_normalize(lower(regexp_replace(translate({x}, {_q(_WIDE)}, {_q(_NARROW)}), '{seen}', '', 'g'))), '[\p{{L}}\p{{M}}\p{{N}}]+')"
@@ -80,4 +113,4 @@ h AS (SELECT doc_id, n, list_aggregate(t[k : k + n - 1], 'string_agg', ' ') AS g
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, gram)
 """
 
-SQL: dict[str, str] = {"p1_found": NEIGHBOURS, "p2_found": LOOK_ALIKE, "p3_found": CUTS, "p5_found": REVISED, "p7_found": LEAKS}
+SQL: dict[str, str] = {"p1_found": NEIGHBOURS, "p2_found": LOOK_ALIKE, "p3_found": CUTS, "p5_found": REVISED, "p5_groups": GROUPS, "p5_multiset_links": MULTISETS, "p7_found": LEAKS}
