@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 
-from folioflow.llm.neighbours import Neighbours, nearest_vectors, neighbour_pairs
+from folioflow.llm.neighbours import Neighbours, _apart, _beyond, nearest_vectors, neighbour_pairs
 
 SCHEMA = "row_id bigint, embedding array<float>, indexed_at timestamp, cell int, near string"
 
@@ -34,6 +34,15 @@ def test_quantile_of_chi_square():
     assert abs(Neighbours(projected=6, stop=0.9).chi_square() - 10.6446407) < 1e-5
 
 
+def test_boxes_are_no_farther_apart_than_their_points():
+    rng = np.random.default_rng(6)
+    groups = [rng.standard_normal((30, 3)) + rng.standard_normal(3) * 4 for _ in range(12)]
+    low, high = np.array([g.min(axis=0) for g in groups]), np.array([g.max(axis=0) for g in groups])
+    apart = _apart(low[:6], high[:6], low[6:], high[6:])
+    nearest = np.array([_beyond(g, low[6:], high[6:]).min(axis=0) for g in groups[:6]])
+    assert (apart <= nearest + 1e-9).all() and (apart > 0).any()
+
+
 def test_many_cells_find_almost_all(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 16))
