@@ -43,7 +43,8 @@ def change_log(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> Data
     donors = turns.where("action = 'removed'").select(*by, "hash", "turn", F.col("path").alias("from"))
     moves = turns.where("action = 'added'").join(donors, [*by, "hash", "turn"]).select(*by, "path", "from")
     # A path that was passed on is no removal of its own.
-    told = acted.join(moves.select(*by, F.col("from").alias("path")), keys, "left_anti").join(moves, keys, "left")
+    marks = moves.withColumn("passed", F.lit(False)).unionByName(moves.select(*by, F.col("from").alias("path"), F.lit(None).cast("string").alias("from"), F.lit(True).alias("passed")))
+    told = acted.join(marks, keys, "left").where(~F.coalesce("passed", F.lit(False)))
     old_path = F.when(F.col("action") == "added", F.col("from")).otherwise(F.col("path"))
     return told.select(*keys, old_path.alias("old_path"), F.when(F.col("from").isNotNull(), "moved").otherwise(F.col("action")).alias("action"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Snapshot numbers are few (one per delivery date); beyond this they are joined, not listed.
+from folioflow.plans.runtime import cut, numbered
+
+#: Snapshot numbers are few (one per delivery date); beyond this they are numbered and joined in tasks, not listed.
 MOST_SNAPSHOTS = 100_000
 
 
@@ -64,12 +66,9 @@ def snapshot_changes(
         steps = manifest.sparkSession.createDataFrame(following, "snap bigint, delivery bigint, next bigint, first boolean")
         m = m.join(F.broadcast(steps), ["snap", "delivery"])
     else:
-        from pyspark.sql import Window
-
-        order = Window.orderBy("snap")
-        steps = per_snapshot.select(
-            "snap", F.col("last").alias("delivery"), F.lead("snap").over(order).alias("next"), (F.row_number().over(order) == 1).alias("first")
-        )
+        placed = cut(numbered(per_snapshot.withColumn("every", F.lit(1)), ["every"], ["snap"]))
+        later = placed.select((F.col("turn") - 1).alias("turn"), F.col("snap").alias("next"))
+        steps = placed.join(later, "turn", "left").select("snap", F.col("last").alias("delivery"), "next", (F.col("turn") == 1).alias("first"))
         m = m.join(steps, ["snap", "delivery"])
 
     record = F.struct(F.col("mtime").isNotNull().alias("known"), "mtime", "h", "size")

@@ -13,7 +13,7 @@ from folioflow.operators.embedding import Embedder, HashedEmbedder, embed, embed
 from folioflow.operators.maintenance import change_log, stale_files
 from folioflow.operators.search import ask_indexed
 from folioflow.plans.runtime import cut, importable
-from folioflow.sources.library import load_documents, readable_files, scan_library
+from folioflow.sources.library import Readers, load_documents, readable_files, scan_library
 from folioflow.sources.store import current_version, exists, index_facts, read_index, remove, save_index
 
 PASSAGES = "row_id bigint, path string, doc_id string, doc_type string, title string, section string, start_pos int, end_pos int, text string, embedding array<float>"
@@ -54,7 +54,8 @@ def _embedded(spark: SparkSession, fresh: DataFrame, pending: str, model: Embedd
 
 
 def update_index(
-    spark: SparkSession, library: str, index: str, config: Config = Config(), rebuild: bool = False, dry_run: bool = False, model: Embedder = HashedEmbedder()
+    spark: SparkSession, library: str, index: str, config: Config = Config(), rebuild: bool = False, dry_run: bool = False, model: Embedder = HashedEmbedder(),
+    readers: Readers = {},
 ) -> tuple[DataFrame, DataFrame]:
     """Index what was added or changed under ``library``, keep the rest; returns (change log, skipped files).
 
@@ -62,13 +63,14 @@ def update_index(
     file's title, which is embedded with them, is still the same; only other files are cut and embedded.
     A file that can't be read any more, or is over the size limit, loses its passages
     and is listed as skipped. Other chunking settings, another model or another layout make everything new. The row ids are hashes of
-    path and place, so they don't depend on what was indexed before. Nothing is written by a dry run.
+    path and place, so they don't depend on what was indexed before. Nothing is written by a dry run. ``readers`` adds
+    formats, by suffix.
     """
     importable(spark)
     facts = {"chunks": config.chunking.signature, "model": model.name, "dims": str(model.dims)}
     manifest, old = _previous(spark, index, rebuild, **facts)
-    scanned = scan_library(spark, library, config.library)
-    docs, skipped = load_documents(scanned)
+    scanned = scan_library(spark, library, config.library, readers)
+    docs, skipped = load_documents(scanned, readers)
     skipped = cut(skipped)
     state = cut(scanned.drop("content", "suffix", "reason", "hint").join(skipped.select("path"), "path", "left_anti"))
     log = cut(change_log(manifest, state))

@@ -66,6 +66,22 @@ def test_scan_and_load(spark, tmp_path):
     assert {r.path for r in skipped.collect()} == {"plot/broken.docx", "plot/old.doc", "drafts/empty.txt"}
 
 
+def test_a_reader_of_ones_own(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/two.pair").write_text("one|two")
+    (tmp_path / "lib/shout.txt").write_text("quiet")
+
+    def pairs(data):
+        return [(str(i), f"Part {i}", "", x) for i, x in enumerate(data.decode().split("|"))]
+
+    own = {"pair": pairs, "txt": lambda data: data.decode().upper()}
+    docs, skipped = load_documents(scan_library(spark, str(tmp_path / "lib"), readers=own), own)
+    assert {(r.path, r.doc_id, r.title, r.text) for r in docs.collect()} == {
+        ("two.pair", "0", "Part 0", "one"), ("two.pair", "1", "Part 1", "two"), ("shout.txt", "", "Shout", "QUIET"),
+    }
+    assert skipped.count() == 0
+
+
 def test_store_versions(spark, tmp_path):
     root = str(tmp_path / "index")
     assert current_version(spark, root) is None

@@ -1,3 +1,4 @@
+from folioflow.operators import snapshots
 from folioflow.operators.snapshots import snapshot_changes
 
 SCHEMA = "snapshot_no int, delivery_no int, path string, hash string, size bigint, mtime double, old_hash string"
@@ -45,3 +46,10 @@ def test_empty_single_and_null_keys(spark):
     assert changes(spark, []) == []
     assert changes(spark, [(1, 1, "a", "h", 1, 1.0)]) == []
     assert changes(spark, [(None, 1, "a", "h", 1, 1.0), (1, None, None, "h", 1, 1.0)]) == []
+
+
+def test_very_many_snapshots_are_compared_alike(spark, monkeypatch):
+    rows = [(n, 1, f"p{(n + k) % 5}", f"h{n % 3}", 1, 1.0) for n in range(1, 9, 2) for k in range(3)]
+    listed = changes(spark, rows)
+    monkeypatch.setattr(snapshots, "MOST_SNAPSHOTS", 1)
+    assert listed and changes(spark, rows) == listed
