@@ -8,7 +8,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow.config import Prompt
 from folioflow.functions.text import COMMON_WORDS, tokens
@@ -25,39 +25,46 @@ class Generator(Protocol):
     def stream(self, messages: list[dict[str, str]]) -> Iterator[str]: ...
 
 
-def prompt_budget(hits: DataFrame, by: str, order: list, size: Column, p: Prompt = Prompt()) -> DataFrame:
-    """``by, used, context_chars``: how many hits of each group fit the budget.
+def prompt_passages(hits: DataFrame, by: str, order: list[str], size: Column, p: Prompt = Prompt()) -> DataFrame:
+    """``by``, the columns of ``order``, ``size, prompt_n``: the hits of each group that fit the budget, numbered as they are used.
 
     In the given order, the first hit always; a hit that doesn't fit is left out and later, smaller
     ones may still be taken. That depends on what was taken before, so the rows of a group are sorted in
     one partition and only its two sums go from row to row, whatever its length. A null size counts as 0.
     """
-    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    rows = hits.select(F.col(by).alias("by"), *keys, F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
-    placed = rows.repartition("by").sortWithinPartitions("by", *[f"o{i}" for i in range(len(order))], "size").select("by", "size")
-
-    def states(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*done)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64()))], names=[by, "used", "context_chars"])
+    rows = hits.select(by, *order, F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    placed = rows.repartition(by).sortWithinPartitions(by, *order, "size")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, used, total = None, 0, 0
         for batch in batches:
-            done = []
-            for key, n in zip(batch["by"].to_pylist(), batch["size"].to_pylist()):
+            taken, numbers = [], []
+            for i, (key, n) in enumerate(zip(batch[by].to_pylist(), batch["size"].to_pylist())):
                 if used and key != group:
-                    done.append((group, used, total))
                     used, total = 0, 0
                 group = key
                 if not used or total + n + p.per_passage <= p.budget:
                     used, total = used + 1, total + n + p.per_passage
-            kind = batch.schema.field("by").type
-            yield states(done, kind)
-        if used:
-            yield states([(group, used, total)], kind)
+                    taken.append(i)
+                    numbers.append(used)
+            kept = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "prompt_n"])
+
+    return placed.mapInArrow(fold, StructType([*placed.schema.fields, StructField("prompt_n", IntegerType())]))
+
+
+def prompt_budget(hits: DataFrame, by: str, order: list[str], size: Column, p: Prompt = Prompt()) -> DataFrame:
+    """``by, used, context_chars``: how many hits of each group fit the budget (see ``prompt_passages``), and what they take of it."""
+    taken = prompt_passages(hits, by, order, size, p)
+    return taken.groupBy(by).agg(F.count(F.lit(1)).alias("used"), F.sum(F.col("size") + p.per_passage).alias("context_chars"))
+
 
-    kind = hits.schema[by].dataType
-    return placed.mapInArrow(fold, StructType([StructField(by, kind), StructField("used", LongType()), StructField("context_chars", LongType())]))
+def prompt_block(n: Column, doc_type: Column, path: Column, section: Column, title: Column, text: Column) -> Column:
+    """A passage as it stands in a prompt: its number, kind, file and place on one line, its text below."""
+    none = F.lit("")
+    where = F.coalesce(F.nullif(section, none), F.nullif(title, none))
+    head = F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.coalesce(doc_type, F.lit("other")), F.lit(" - "), path)
+    return F.concat(head, F.coalesce(F.concat(F.lit(" ("), where, F.lit(")")), none), F.lit("\n"), F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
 def build_messages(question: str, hits: list[dict], history: list[dict[str, str]] = (), system: str = "", p: Prompt = Prompt()) -> list[dict[str, str]]:

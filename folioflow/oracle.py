@@ -173,6 +173,14 @@ _POINTING = ", ".join(map(quoted, PRONOUNS))
 _EMPTY = ", ".join(map(quoted, sorted({*T.COMMON_WORDS, *PRONOUNS})))
 _SPACES = r"\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: Files' passages one after the other, and whether each still fits their prompt.
+_COST, _MOST = f"n.chars + {Prompt().per_passage}", Prompt().budget
+TAKEN = f"""r AS (SELECT row_id, path, max(length(text)) AS chars FROM passages GROUP BY ALL HAVING max(length(text)) IS NOT NULL),
+n AS (SELECT row_id, path, chars, row_number() OVER (PARTITION BY path ORDER BY row_id) AS i, count(*) OVER (PARTITION BY path) AS last FROM r),
+f AS (SELECT row_id, path, i, last, true AS taken, 1::BIGINT AS used, ({_COST})::BIGINT AS total FROM n WHERE i = 1
+  UNION ALL SELECT n.row_id, f.path, n.i, f.last, total + {_COST} <= {_MOST}, f.used + (total + {_COST} <= {_MOST})::INT, total + CASE WHEN total + {_COST} <= {_MOST} THEN {_COST} ELSE 0 END
+  FROM f JOIN n ON n.path = f.path AND n.i = f.i + 1)"""
+
 _NAME = "regexp_extract(path, '[^/]*$')"
 _STEM = f"CASE WHEN regexp_matches({_NAME}, '^.+\\.[^.]+$') THEN regexp_replace({_NAME}, '\\.[^.]+$', '') ELSE {_NAME} END"
 _SPACED = f"trim(regexp_replace(regexp_replace({_STEM}, '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -209,6 +217,7 @@ SQL: dict[str, str] = {
     "hybrid_topk": ranked(FIXED_NAMES, Q.PLAN.bonuses, Q.PHRASE, True),
     "hybrid_type_filtered": ranked(FIXED_NAMES, Q.PLAN.bonuses, Q.PHRASE, True, ("history", "culture")),
     "search_indexed": ranked(FIXED_NAMES, Q.PLAN.bonuses, Q.PHRASE, True),
+    "search_stored": ranked(FIXED_NAMES, Q.PLAN.bonuses, Q.PHRASE, False),
     "planned_search": ranked(ASKED_NAMES, {"other": -0.01, "location": 0.07}, Q.PHRASE, False, terms=ASKED_TERMS, shown=True),
     "literal_only_topk": ranked(None, {}, None, False),
     "phrase_boost_topk": ranked(None, {}, Q.PHRASE, False),
@@ -231,14 +240,12 @@ SQL: dict[str, str] = {
     "pretty_titles": f"""WITH s AS (SELECT DISTINCT path, {_NAME} AS name, {_SPACED} AS spaced FROM files)
         SELECT path, CASE WHEN spaced = '' THEN name WHEN spaced = lower(spaced) AND regexp_matches(spaced, '\\p{{L}}')
           THEN array_to_string(list_transform(string_split(spaced, ' '), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ') ELSE spaced END AS pretty FROM s""",
-    "prompt_budget": f"""WITH RECURSIVE r AS (SELECT row_id, path, max(length(text)) AS chars FROM passages GROUP BY ALL HAVING max(length(text)) IS NOT NULL),
-        n AS (SELECT path, chars, row_number() OVER (PARTITION BY path ORDER BY row_id) AS i, count(*) OVER (PARTITION BY path) AS last FROM r),
-        f AS (SELECT path, i, last, 1::BIGINT AS used, (chars + {Prompt().per_passage})::BIGINT AS total FROM n WHERE i = 1
-          UNION ALL SELECT f.path, n.i, f.last, f.used + (total + n.chars + {Prompt().per_passage} <= {Prompt().budget})::INT,
-            total + CASE WHEN total + n.chars + {Prompt().per_passage} <= {Prompt().budget} THEN n.chars + {Prompt().per_passage} ELSE 0 END
-          FROM f JOIN n ON n.path = f.path AND n.i = f.i + 1)
-        SELECT path, used, total AS context_chars FROM f WHERE i = last""",
+    "prompt_budget": f"WITH RECURSIVE {TAKEN} SELECT path, used, total AS context_chars FROM f WHERE i = last",
+    "prompt_blocks": f"""WITH RECURSIVE {TAKEN}, t AS (SELECT row_id, path, max(doc_type) AS doc_type, max(section) AS section, max(title) AS title, max(text) AS text FROM passages WHERE text IS NOT NULL GROUP BY ALL)
+        SELECT row_id, path, used::INT AS prompt_n, sha256('[' || used || '] ' || coalesce(doc_type, 'other') || ' - ' || path || coalesce(' (' || coalesce(nullif(section, ''), nullif(title, '')) || ')', '')
+          || chr(10) || regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS block FROM f JOIN t USING (row_id, path) WHERE taken""",
     "chunk_passages": chunk_sql(),
+    "stream_passages": chunk_sql(),
     "chunk_spans_valid": r"SELECT DISTINCT coalesce(path, '') AS path, sha256(text) AS doc, 0::BIGINT AS wrong FROM docs WHERE length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 3",
     "embedded_texts": f"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^{_SPACES}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
     "unit_vectors": """SELECT DISTINCT row_id, CASE WHEN len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM vectors

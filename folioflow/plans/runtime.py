@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,23 +49,34 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir`` (shared by all executors on
-    a cluster). Only where it is unset, as in local tests, a temporary folder is used.
+    On a cluster it is shared by all executors. Only where it is unset, as in local tests, a temporary
+    folder is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="folioflow-checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for tables that are written and read again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 #: Steps after which rows are no longer where a scan has put them.
 _MOVING = re.compile(r"\b(?:Join|Aggregate|Repartition\w*|RebalancePartitions|Sort|Window|Union|Distinct|Deduplicate\w*|\w*Limit)\b")
 

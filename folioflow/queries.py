@@ -12,7 +12,10 @@ from folioflow.functions import text as T
 from folioflow.operators import answering, chunking, embedding, lexicon, literal, maintenance
 from folioflow.operators import search as S
 from folioflow.operators.snapshots import normal_path, snapshot_changes
-from folioflow.plans.runtime import spread, table
+from folioflow.plans.indexing import stored_lexicon
+from folioflow.plans.runtime import scratch, spread, table
+from folioflow.sources.store import read_index, remove, save_index
+from folioflow.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,6 +168,18 @@ def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(S.search_indexed(corpus(spark, sf), lexicon.postings(t), lexicon.corpus_stats(t), plan, vectors=embeddings(spark, sf)))
 
 
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A ranking by words alone through an index that is saved, pointed to and read again."""
+    root = scratch(spark, "index")
+    t = tokenised(spark, sf).select("row_id", "tokens", "dl")
+    save_index(spark, root, {"passages": corpus(spark, sf), "postings": lexicon.postings(t), "corpus_stats": lexicon.corpus_stats(t)}, tokenizer=str(T.TOKENIZER))
+    hits = _hits(S.search_indexed(read_index(spark, root, "passages"), *stored_lexicon(spark, root), PLAN))
+    # A few rows, so the index can go.
+    rows = spark.createDataFrame(hits.collect(), hits.schema)
+    remove(spark, root)
+    return rows
+
+
 def literal_only_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(S.search(corpus(spark, sf), S.QueryPlan(TERMS)))
 
@@ -254,7 +269,18 @@ def orphan_passages(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
     """How many of each file's passages fit a prompt, in their order."""
     rows = passages(spark, sf).groupBy("row_id", "path").agg(F.max(F.length("text")).alias("chars")).where("chars is not null")
-    return answering.prompt_budget(rows, "path", [F.col("row_id")], F.col("chars"), Prompt())
+    return answering.prompt_budget(rows, "path", ["row_id"], F.col("chars"), Prompt())
+
+
+def prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each file's passages as they stand in a prompt of it; only those that fit meet their texts again."""
+    p = passages(spark, sf).where("text is not null")
+    sizes = p.groupBy("row_id", "path").agg(F.max(F.length("text")).alias("chars"))
+    taken = answering.prompt_passages(sizes, "path", ["row_id"], F.col("chars"), Prompt())
+    columns = ["doc_type", "section", "title", "text"]
+    told = p.join(taken.select("row_id", "path"), ["row_id", "path"], "left_semi").groupBy("row_id", "path").agg(*[F.max(c).alias(c) for c in columns])
+    block = answering.prompt_block(F.col("prompt_n"), F.col("doc_type"), F.col("path"), F.col("section"), F.col("title"), F.col("text"))
+    return taken.join(told, ["row_id", "path"]).select("row_id", "path", "prompt_n", F.sha2(block, 256).alias("block"))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +291,14 @@ def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(_docs(spark, sf), Chunking()).groupBy("path", "doc_id", "section", "start_pos", "end_pos").agg(F.max(F.length("text")).alias("chars"))
 
 
+def stream_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same passages from a stream of the documents, written and read again."""
+    out = scratch(spark, "passages")
+    # A pattern, as the table may be one file or a folder of files.
+    ingest(spark, f"{sf}/docs.parque[t]", f"{out}/table", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/table").groupBy("path", "doc_id", "section", "start_pos", "end_pos").agg(F.max(F.length("text")).alias("chars"))
+
+
 def chunk_spans_valid(spark: SparkSession, sf: str) -> DataFrame:
     """Of each document how many passages it has, and how many of them are not the slice of it that they say."""
     docs = _docs(spark, sf).where("text is not null").select("path", "doc_id", "text").distinct()
@@ -319,9 +353,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         p4_found, clean_text_len, collapse_preview, content_hash, doc_type_from_path, pretty_titles, citations, embed_headers,
         token_counts, corpus_stats, doc_frequency, postings_top_terms, rare_terms, bm25_scores, bm25_topk, bm25_from_postings,
-        presence_fraction, cosine_topk, minmax_normalised, hybrid_topk, hybrid_type_filtered, search_indexed, literal_only_topk, phrase_boost_topk,
+        presence_fraction, cosine_topk, minmax_normalised, hybrid_topk, hybrid_type_filtered, search_indexed, search_stored, literal_only_topk, phrase_boost_topk,
         intent_nudge_topk, file_cap_topk, planned_search, find_literal, find_files, find_typed, found_snippets, change_log, moved_files, moved_folder, stale_counts,
-        status_by_type, chunk_counts, orphan_passages, prompt_budget, chunk_passages, chunk_spans_valid, embedded_texts, unit_vectors,
+        status_by_type, chunk_counts, orphan_passages, prompt_budget, prompt_blocks, chunk_passages, stream_passages, chunk_spans_valid, embedded_texts, unit_vectors,
         chat_history_window, followup_search_text,
     )
 }

@@ -98,7 +98,7 @@ def test_prompt_budget_skips_and_goes_on(spark):
     p = Prompt(max_context_chars=1000)
     rows = [("x", 1, 5000), ("x", 2, 10), ("y", 1, 300), ("y", 2, 800), ("y", 3, 400)]
     df = spark.createDataFrame(rows, "path string, n int, chars int")
-    out = {r.path: (r.used, r.context_chars) for r in answering.prompt_budget(df, "path", [F.col("n")], F.col("chars"), p).collect()}
+    out = {r.path: (r.used, r.context_chars) for r in answering.prompt_budget(df, "path", ["n"], F.col("chars"), p).collect()}
     assert out == {"x": (1, 5120), "y": (2, 940)}
     messages = answering.build_messages("Q?", [{"path": "a", "text": "t" * 900, "doc_type": "plot"}, {"path": "b", "text": "u" * 900}], p=p)
     assert "[1]" in messages[-1]["content"] and "[2]" not in messages[-1]["content"]
@@ -193,9 +193,9 @@ def test_prompt_budget_of_long_groups(spark):
             expected[path] = (used + 1, total + n + 10)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        out = answering.prompt_budget(spark.createDataFrame(rows, "path string, n int, chars int"), "path", [F.col("n")], F.col("chars"), p)
+        out = answering.prompt_budget(spark.createDataFrame(rows, "path string, n int, chars int"), "path", ["n"], F.col("chars"), p)
         assert {r.path: (r.used, r.context_chars) for r in out.collect()} == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
-    assert answering.prompt_budget(spark.createDataFrame([], "path string, n int, chars int"), "path", [F.col("n")], F.col("chars"), p).count() == 0
+    assert answering.prompt_budget(spark.createDataFrame([], "path string, n int, chars int"), "path", ["n"], F.col("chars"), p).count() == 0
