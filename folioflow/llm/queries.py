@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     """The consistent form of every text and section that isn't in it already."""
-    return look_alike_keys(table(spark, sf, "passages")).where("form is not null").select("field", "row_id", "form").distinct()
+    return look_alike_keys(table(spark, sf, "passages")).where("form is not null and raw <> key").select("field", "row_id", "form").distinct()
 
 
 def _split(spark: SparkSession, sf: str, with_text: bool) -> dict[str, DataFrame]:
