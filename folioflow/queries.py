@@ -13,7 +13,7 @@ from folioflow.operators import answering, chunking, embedding, lexicon, literal
 from folioflow.operators import search as S
 from folioflow.operators.snapshots import normal_path, snapshot_changes
 from folioflow.plans.indexing import stored_lexicon
-from folioflow.plans.runtime import scratch, spread, table
+from folioflow.plans.runtime import cut, scratch, spread, table
 from folioflow.sources.store import read_index, remove, save_index
 from folioflow.streaming.ingest import ingest
 
@@ -296,7 +296,9 @@ def stream_passages(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark, "passages")
     # A pattern, as the table may be one file or a folder of files.
     ingest(spark, f"{sf}/docs.parque[t]", f"{out}/table", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/table").groupBy("path", "doc_id", "section", "start_pos", "end_pos").agg(F.max(F.length("text")).alias("chars"))
+    spans = cut(spark.read.parquet(f"{out}/table").groupBy("path", "doc_id", "section", "start_pos", "end_pos").agg(F.max(F.length("text")).alias("chars")))
+    remove(spark, out)
+    return spans
 
 
 def chunk_spans_valid(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,8 +306,8 @@ def chunk_spans_valid(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).where("text is not null").select("path", "doc_id", "text").distinct()
     # A document is told by its text too, as one place may have been loaded with several.
     named = docs.withColumn("doc_id", F.concat_ws("#", F.coalesce("doc_id", F.lit("")), F.sha2("text", 256)))
-    cut = chunking.chunk_documents(named.withColumns({"doc_type": T.doc_type_of(F.col("path")), "title": F.lit(""), "section_prefix": F.lit("")}), Chunking())
-    held = cut.select("path", "doc_id", "start_pos", "end_pos", F.col("text").alias("passage")).join(named.withColumn("path", F.coalesce("path", F.lit(""))), ["path", "doc_id"])
+    passages_of = chunking.chunk_documents(named.withColumns({"doc_type": T.doc_type_of(F.col("path")), "title": F.lit(""), "section_prefix": F.lit("")}), Chunking())
+    held = passages_of.select("path", "doc_id", "start_pos", "end_pos", F.col("text").alias("passage")).join(named.withColumn("path", F.coalesce("path", F.lit(""))), ["path", "doc_id"])
     slice_ = F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
     per = held.groupBy("path", F.sha2("text", 256).alias("doc")).agg(F.count(F.lit(1)).alias("passages"), F.sum((slice_ != F.col("passage")).cast("bigint")).alias("wrong"))
     return per.groupBy("path", "doc").agg(F.sum(F.when(F.col("passages") > 0, F.col("wrong"))).alias("wrong"))
