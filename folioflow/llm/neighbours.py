@@ -167,16 +167,23 @@ class Search:
 
     def _sweep(self, rows: np.ndarray, lower: np.ndarray, leaves: np.ndarray, other: Block) -> None:
         own = self.block
-        limit = self.radius(rows)
+        may = lower[:, leaves] <= self.radius(rows)[:, None]
+        used, active = may.any(axis=0), may.any(axis=1)
+        # Leaves that most of the queries open are compared in one product; a few more pairs cost less than many small ones.
+        together = [used] if may[active][:, used].mean() > 0.6 else list(np.eye(len(leaves), dtype=bool)[used])
         found = []
-        for leaf in leaves:
-            active = rows[lower[:, leaf] <= limit]
-            if not len(active):
-                continue
-            a, b = other.edges[leaf], other.edges[leaf + 1]
-            q, c = np.nonzero(own.near[active] @ other.near[a:b].T > (self.cos[active, -1] - 2e-6).astype(np.float32)[:, None])
-            if len(q):
-                found.append((active[q], c + a))
+        for chosen in together if active.any() else []:
+            queries = rows[may[:, chosen].any(axis=1)]
+            points = np.concatenate([np.arange(other.edges[x], other.edges[x + 1]) for x in leaves[chosen]])
+            near = own.near[queries] @ other.near[points].T
+            least = (self.cos[queries, -1] - 2e-6).astype(np.float32)
+            hits = np.flatnonzero(near > least[:, None])
+            if len(points) > self.keep and len(hits) > 4 * self.keep * len(queries):
+                # Early on nearly all are nearer than what is known; of these points alone no more are kept either.
+                best = np.partition(near, len(points) - self.keep, axis=1)[:, len(points) - self.keep]
+                hits = np.flatnonzero(near > np.maximum(least, best - np.float32(4e-6))[:, None])
+            if len(hits):
+                found.append((queries[hits // len(points)], points[hits % len(points)]))
         if found:
             q, c = (np.concatenate(x) for x in zip(*found))
             exact = np.concatenate([np.einsum("ij,ij->i", own.unit[q[i : i + 65536]], other.unit[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
