@@ -214,18 +214,21 @@ def find_typed(spark: SparkSession, sf: str) -> DataFrame:
     return literal.find_literal(passages(spark, sf), "the", ["history", "plot"]).groupBy("row_id").agg(F.count(F.lit(1)).alias("places"))
 
 
-def _state(spark: SparkSession, sf: str, number) -> DataFrame:
-    """One snapshot of the manifest, by its last delivery, a record per path."""
+def _states(spark: SparkSession, sf: str, *numbers: int) -> list[DataFrame]:
+    """Snapshots of the manifest, counted back from the last, each by its last delivery and with a record per path."""
     m = table(spark, sf, "manifest").withColumn("path", normal_path(F.col("path"))).withColumn("hash", F.lower(F.trim("hash")))
-    # One row: the numbers of the last two snapshots and of their last deliveries.
+    # Two rows: the numbers of the last two snapshots and of their last deliveries.
     last = m.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no")).orderBy(F.desc("snapshot_no")).limit(2).collect()
-    at = last[min(number, len(last) - 1)] if last else None
-    rows = m.where((F.col("snapshot_no") == at[0]) & (F.col("delivery_no") == at[1])) if at else m
-    return maintenance.one_per_path(rows.select("path", "hash", "size", "mtime", "doc_type", "title"))
+    out = []
+    for number in numbers:
+        at = last[min(number, len(last) - 1)] if last else None
+        rows = m.where((F.col("snapshot_no") == at[0]) & (F.col("delivery_no") == at[1])) if at else m
+        out.append(maintenance.one_per_path(rows.select("path", "hash", "size", "mtime", "doc_type", "title")))
+    return out
 
 
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
-    return maintenance.change_log(_state(spark, sf, 1), _state(spark, sf, 0))
+    return maintenance.change_log(*_states(spark, sf, 1, 0))
 
 
 def moved_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,14 +246,14 @@ def moved_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def moved_folder(spark: SparkSession, sf: str) -> DataFrame:
     """The moves found where all files in folders of one name stand in folders of another, by content alone."""
-    now = _state(spark, sf, 0)
+    (now,) = _states(spark, sf, 0)
     renamed = maintenance.one_per_path(now.withColumn("path", F.replace("path", F.lit("/drafts/"), F.lit("/chapters/"))))
     return maintenance.change_log(now, renamed).where("action = 'moved'").select("path", "old_path")
 
 
 def stale_counts(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "files").select("path", "hash", "size", "mtime")
-    return maintenance.stale_counts(_state(spark, sf, 1), maintenance.one_per_path(files))
+    return maintenance.stale_counts(*_states(spark, sf, 1), maintenance.one_per_path(files))
 
 
 def status_by_type(spark: SparkSession, sf: str) -> DataFrame:
